@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import fingerprint, langid, license_scan, mixing, packing, secret_scan, warc
+from lodestone.llm import fingerprint, langid, license_scan, mixing, ngram_join, packing, secret_scan, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -57,6 +57,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "held_out", "lang_pred", "score", "ambiguous")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(documents(spark, sf_dir), width=3, num=90, den=100).withColumnRenamed("id", "doc_id")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -73,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secrets": op3_secrets,
         "op4_licenses": op4_licenses,
         "op5_language_id": op5_language_id,
+        "op7_ngram_join": op7_ngram_join,
         "op8_warc": op8_warc,
         "op10_mixing": op10_mixing,
     }
