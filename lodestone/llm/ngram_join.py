@@ -220,12 +220,11 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     bit = F.pmod(F.xxhash64("id"), F.lit(1 << BITMAP_BITS))
     pages = (
         nodes.select(F.col("node").alias("id")).withColumn("bit", bit)
-        .groupBy(F.expr("bitmap_bucket_number(bit)").alias("page")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits")).collect()
+        .groupBy(F.expr("bitmap_bucket_number(bit + 1)").alias("page")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit + 1))").alias("bits")).collect()
     )
-    bitmap = np.zeros((1 << BITMAP_BITS) // 8 + 8192, np.uint8)
-    for r in pages:  # pages begin at 1 and hold 32768 bits, but page 0 holds bit 0 below
-        at = (r["page"] - 1) * 4096 if r["page"] else 0
-        bitmap[at : at + 4096] |= np.frombuffer(bytes(r["bits"]), np.uint8)
+    bitmap = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
+    for r in pages:  # of 32768 bits; the first is page 1
+        bitmap[(r["page"] - 1) * 4096 : r["page"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # 8 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
