@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import fingerprint, langid, license_scan, mixing, ngram_join, packing, secret_scan, warc
+from lodestone.llm import fingerprint, langid, license_scan, mixing, ngram_join, packing, secret_scan, suffix_dedup, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -66,6 +66,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = suffix_dedup.remove_repeats(documents(spark, sf_dir), length=400, keep="none")
+    return removed.select(F.col("id").alias("doc_id"), *suffix_dedup.digest_columns(removed))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
@@ -79,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": op5_language_id,
         "op7_ngram_join": op7_ngram_join,
         "op8_warc": op8_warc,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_mixing": op10_mixing,
     }
 
