@@ -21,13 +21,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from lodestone.session import cut, stored
 
-CACHE = 200_000
+CACHE = 300_000
+#: How the vocabulary's tokenizer cuts lower-cased text into words.
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Byte-level vocabularies write bytes that have no visible character as those from U+0100 on, in order.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -36,31 +42,45 @@ class _Encoder:
 
     The tokenizer drops white space and never merges across it, so that a text's ids are
     those of its blank-separated chunks in turn. Chunks repeat; their ids are kept in two
-    generations of a bounded size.
+    generations of a bounded size. A chunk of Latin-1 characters is in normal form but for
+    its case, so its words go to the tokenizer's model at once; any other goes through the
+    whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
-
-    def learn(self, chunks: list[bytes]) -> None:
-        for c, e in zip(chunks, self.tokenizer.encode_batch([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False), strict=True):
-            self.young[c] = np.asarray(e.ids, "<u4").tobytes()
+        self.tokenizer, self.young, self.old, self.pieces = Tokenizer.from_file(path), {}, {}, {}
+        self.model = self.tokenizer.model
+
+    def chunk(self, raw: bytes) -> bytes:
+        text = raw.decode("utf-8", "replace")
+        if raw.isascii() or max(text) < "\u0100":
+            if "<|" not in text:
+                low, get = text.lower(), self.pieces.get
+                if low.isalpha():
+                    return get(low) or self.piece(low)
+                if low[:-1].isalpha() and low[-1] in ".,;:!?|":
+                    return (get(low[:-1]) or self.piece(low[:-1])) + (get(low[-1]) or self.piece(low[-1]))
+                return b"".join([get(p) or self.piece(p) for p in _PIECES.findall(low)])
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def piece(self, word: str) -> bytes:
+        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_CHARS))
+        ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        if len(self.pieces) > CACHE:
+            self.pieces = {}
+        self.pieces[word] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
-        chunks = text.encode("utf-8", "replace").split()
+        raw = text.encode("utf-8", "replace")
+        # case matters to special tokens, and to characters that combine with a letter
+        chunks = (raw if b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw else raw.lower()).split()
         young, old = self.young, self.old
-        missing = []
-        for c in set(chunks):
-            if c not in young:
-                if c in old:
-                    young[c] = old[c]
-                else:
-                    missing.append(c)
-        if missing:
-            self.learn(missing)
-        out = b"".join([young[c] for c in chunks])
+        for c in set(chunks).difference(young):
+            young[c] = old[c] if c in old else self.chunk(c)
+        out = b"".join(map(young.__getitem__, chunks))
         if len(young) > CACHE:
             self.young, self.old = {}, young
         return out
