@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import fingerprint, langid, license_scan, mixing, ngram_join, packing, secret_scan, suffix_dedup, warc
+from lodestone.llm import fingerprint, langid, license_scan, mixing, multi_index, ngram_join, packing, secret_scan, suffix_dedup, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -57,6 +57,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "held_out", "lang_pred", "score", "ambiguous")
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumnRenamed("id", "vec_id")
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(documents(spark, sf_dir), width=3, num=90, den=100).withColumnRenamed("id", "doc_id")
 
@@ -82,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secrets": op3_secrets,
         "op4_licenses": op4_licenses,
         "op5_language_id": op5_language_id,
+        "op6_embedding_dedup": op6_embedding_dedup,
         "op7_ngram_join": op7_ngram_join,
         "op8_warc": op8_warc,
         "op9_suffix_dedup": op9_suffix_dedup,
