@@ -145,6 +145,23 @@ def sample(docs: DataFrame, usable: Column, *, per_language: int, id_col: str, t
     return [(r["t"], r["l"]) for r in sorted(rows, key=lambda r: (r["l"], r["t"])) if has_letter(r["t"])]
 
 
+def _classify(m: Model | None, texts: pa.Array, ambiguous_below: float) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and whether it is ambiguous, for each text."""
+    n = len(texts)
+    lang, score, gap = [UNKNOWN] * n, np.zeros(n), np.zeros(n)
+    known, margins = [], []
+    for i, t in enumerate(texts if m is not None else ()):
+        t = t.as_py()
+        if has_letter(t):
+            known.append(i)
+            margins.append(m.bias + (np.sqrt(frequencies(t)) @ m.weights if m.weights.shape[1] else 0))
+    if known:
+        best, score[known], gap[known] = decode(np.stack(margins), m)
+        for i, j in zip(known, best, strict=True):
+            lang[i] = m.languages[j]
+    return lang, score, gap < ambiguous_below
+
+
 def predict(docs: DataFrame, model: Model | None, *, ambiguous_below: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score, ambiguous for every row, from the text alone."""
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -152,27 +169,27 @@ def predict(docs: DataFrame, model: Model | None, *, ambiguous_below: float = 0.
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BUCKETS and the code
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for b in batches:
-            n = b.num_rows
-            lang, score, gap = [UNKNOWN] * n, np.zeros(n), np.zeros(n)
-            if m is not None and n:
-                known, margins = [], []
-                for i, t in enumerate(b.column(1)):
-                    t = t.as_py()
-                    if has_letter(t):
-                        known.append(i)
-                        margins.append(m.bias + (np.sqrt(frequencies(t)) @ m.weights if m.weights.shape[1] else 0))
-                if known:
-                    best, s, g = decode(np.stack(margins), m)
-                    score[known], gap[known] = s, g
-                    for i, j in zip(known, best, strict=True):
-                        lang[i] = m.languages[j]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(gap < ambiguous_below)], ["id", "lang_pred", "score", "ambiguous"])
+            lang, score, unsure = _classify(shared.value, b.column(1), ambiguous_below)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(unsure)], ["id", "lang_pred", "score", "ambiguous"])
 
     return src.mapInArrow(run, f"id {kind}, lang_pred string, score double, ambiguous boolean")
 
 
+def keep_identified(docs: DataFrame, *, per_language: int = 500, ambiguous_below: float = 0.2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows, whole, whose text is in one of the learned languages without ambiguity."""
+    rows = sample(docs, ~held_out(id_col), per_language=per_language, id_col=id_col, text_col=text_col, lang_col=lang_col)
+    shared = docs.sparkSession.sparkContext.broadcast(fit([t for t, _ in rows], [v for _, v in rows]))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lang, _, unsure = _classify(shared.value, b.column(at), ambiguous_below)
+            yield b.take(pa.array(np.flatnonzero(~unsure & (np.array(lang, object) != UNKNOWN))))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """The fold that is never learned from: crc32 of the id as text leaves 1 modulo 3."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))

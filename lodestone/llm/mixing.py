@@ -14,9 +14,13 @@ Only the columns named are read, so extra columns can't clash.
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -111,6 +115,38 @@ def mix_sources(
     )
 
 
+def mixed_documents(
+    docs: DataFrame, *, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
+    """The rows as the mix takes them: whole copies, and where a cut falls the text up to the cut.
+
+    A row whose words the mix doesn't take goes. Rows of one id and size are interchangeable.
+    """
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    mix = mix_sources(docs, weights=weights, cap=cap, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col)
+    plan = mix.groupBy(F.col("id").alias("__id"), F.col("size").alias("__n")).agg(F.sort_array(F.collect_list("taken")).alias("__takens"))
+    rows = docs.withColumn("__size", size)
+    ranked = rows.withColumn("__k", F.row_number().over(Window.partitionBy(id_col, "__size").orderBy(text_col)))
+    joined = ranked.join(plan, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__n")))
+    taken = joined.withColumn("__taken", F.element_at("__takens", F.col("__k"))).where(F.col("__taken") > 0)
+    picked = taken.select(*[F.col(f"`{c}`") for c in docs.columns], "__size", "__taken")
+    at = docs.columns.index(text_col)
+    word = re.compile(WORD)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size, take = (np.asarray(b.column(i)) for i in (b.num_columns - 2, b.num_columns - 1))
+            whole = b.select(range(b.num_columns - 2))
+            yield whole.take(pa.array(np.repeat(np.arange(b.num_rows), take // size)))
+            if len(part := np.flatnonzero(take % size)):
+                rows = whole.take(pa.array(part))
+                ends = [next(itertools.islice(word.finditer(t), int(k) - 1, None)).end() for t, k in zip(rows.column(at).to_pylist(), (take % size)[part], strict=True)]
+                texts = pa.array([t[:e] for t, e in zip(rows.column(at).to_pylist(), ends, strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(rows.columns)], rows.schema.names)
+
+    return picked.mapInArrow(run, docs.schema)
+
+
 #: The same in SQL; {weights} sources take 1, 2, 3 in turn, the cap is 3.
 SQL = r"""
 WITH d AS (

@@ -292,3 +292,16 @@ def jaccard_components(
     classes = reps.select(F.col("digest").alias("k"), "node").join(label, F.col("node") == F.col("p"), "left").select("k", F.coalesce("c", "node").alias("component"))
     out = base.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("digest")).alias("digest"))
     return out.join(classes, F.col("digest") == F.col("k"), "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, whole, without near-duplicates: of each component the document with the smallest id.
+
+    Rows with a null id, and those without words, stay. Equal rows of one id are one
+    document; rows of one id and different texts stay or go together.
+    """
+    joined = jaccard_components(docs, width=width, num=num, den=den, id_col=id_col, text_col=text_col)
+    stay = joined.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("__id")).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).join(stay, F.col(id_col) == F.col("__id"), "left_semi")
+    once = named.withColumn("__text", F.md5(F.col(text_col).cast("string"))).dropDuplicates([id_col, "__text"])
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(F.col(id_col).isNull()))
