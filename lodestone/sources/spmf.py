@@ -8,15 +8,18 @@ utility is trusted unless ``validate_tu`` asks for the sum. The last line needs
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
-    """tid, value, items, tu, utils, reason (null: good) of every line that isn't empty or a comment."""
+def parse_lines(lines: DataFrame, value: str = "value", tid: Column | None = None) -> DataFrame:
+    """tid, value, items, tu, utils, reason (null: good) of every line that isn't empty or a comment.
+
+    ``tid`` names the baskets (default: ids by place in the input, which streams don't have).
+    """
     numbers = lambda part: F.expr(f"transform(split(trim({part}), ' +'), x -> try_cast(x as bigint))")
     rows = (
-        lines.select(F.monotonically_increasing_id().alias("tid"), F.trim(F.regexp_replace(F.col(value), r"[%#@].*$", "")).alias("value"))
+        lines.select((F.monotonically_increasing_id() if tid is None else tid).alias("tid"), F.trim(F.regexp_replace(F.col(value), r"[%#@].*$", "")).alias("value"))
         .where("value <> ''").withColumn("part", F.split("value", ":"))
         .withColumn("items", numbers("part[0]")).withColumn("tu", F.expr("try_cast(trim(get(part, 1)) as bigint)")).withColumn("utils", numbers("get(part, 2)"))
     )
