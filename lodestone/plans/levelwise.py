@@ -21,9 +21,9 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.bounds import small, with_total
+from lodestone.functions.bounds import BROADCAST_ROWS, small, with_total
 from lodestone.plans.local import DepthFirst
-from lodestone.session import cut, stored
+from lodestone.session import cut, observed, stored
 
 LOCAL_ELEMENTS = 2_000_000
 _FOUND = "items array<bigint>, util bigint"
@@ -121,7 +121,7 @@ def first_state(tx: DataFrame, min_util: int, declared: DataFrame | None, tighte
     if min_util < 1:
         raise ValueError("min_util must be 1 or more")
     whole = with_total(tx, declared).persist(StorageLevel.MEMORY_AND_DISK)
-    items = whole.groupBy("item").agg(F.sum("tu").alias("twu")).where((F.col("item") >= 1) & (F.col("twu") >= min_util))
+    items = whole.groupBy("item").agg(F.sum("tu").alias("twu")).where((F.col("item") >= 1) & (F.col("twu") >= min_util)).persist(StorageLevel.MEMORY_AND_DISK)
     rows = whole.join(small(items), "item")
     later = Window.partitionBy("tid").orderBy(F.col("twu").desc(), F.col("item").desc()).rowsBetween(Window.unboundedPreceding, 0)
     explore = rows.withColumn("su", F.sum("u").over(later)).groupBy("item").agg(F.sum("su").alias("su")).where(F.col("su") >= min_util).select(F.col("item").alias("x"))
@@ -130,7 +130,7 @@ def first_state(tx: DataFrame, min_util: int, declared: DataFrame | None, tighte
     slack = F.lit(0).cast("long") if tighten else F.max("tu") - F.sum("u")
     baskets = rows.groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("twu", "item", "u"))).alias("s"), slack.alias("extra"))
     baskets = baskets.select("extra", F.transform("s", lambda e: F.struct(e["item"].alias("item"), e["u"].alias("u"))).alias("rem"))
-    opened = baskets.select("extra", "rem", F.posexplode("rem").alias("pos", "e")).join(small(explore), F.col("e.item") == F.col("x"))
+    opened = baskets.select("extra", "rem", F.posexplode("rem").alias("pos", "e")).join(F.broadcast(explore) if n <= BROADCAST_ROWS else explore, F.col("e.item") == F.col("x"))
     state = opened.select(F.array("x").alias("p"), F.col("e.u").alias("pu"), "extra", F.slice("rem", F.col("pos") + 2, F.size("rem")).alias("rem"))
     return state, n
 
@@ -145,28 +145,29 @@ def mine(tx: DataFrame, min_util: int, *, declared: DataFrame | None = None, loc
         raise ValueError("the published bound is kept by the depth-first search only")
     clock, phases = time.perf_counter(), {}
     state, candidates = first_state(tx, min_util, declared, tighten)
-    state = stored(state, "level") if candidates else state
+    state, seen = observed(state, "level", n=F.sum(F.size("rem")))
     phases["build"] = time.perf_counter() - clock
     clock = time.perf_counter()
     parts, level = [], 0
+
+    def finish(rows: DataFrame) -> None:
+        nonlocal candidates
+        deep, more = observed(_depth_first(rows, min_util, tighten), "deep", n=F.sum(F.when(F.col("items").isNull(), F.col("util"))))
+        parts.append(deep.where("items is not null"))
+        candidates += more["n"]
+
     while True:
         level += 1
         sizes = state.groupBy("p").agg(F.sum("pu").alias("util"), F.sum(F.size("rem")).alias("n"))
         parts.append(sizes.where(F.col("util") >= min_util).select(F.col("p").alias("items"), "util"))
-        large = sizes.where(F.col("n") > local_elements).select(F.col("p").alias("big")).persist(StorageLevel.MEMORY_AND_DISK)
-        n_large = large.count() if tighten else 0
-        if n_large == 0:
-            if local_elements:
-                deep = stored(_depth_first(state, min_util, tighten), "deep")
-                parts.append(deep.where("items is not null"))
-                candidates += deep.where("items is null").agg(F.sum("util")).first()[0] or 0
+        if local_elements and (seen["n"] <= local_elements or not tighten):
+            finish(state)
             break
         if local_elements:
-            small_state = state.join(small(large), F.col("p") == F.col("big"), "left_anti")
-            deep = stored(_depth_first(small_state, min_util, tighten), "deep")
-            parts.append(deep.where("items is not null"))
-            candidates += deep.where("items is null").agg(F.sum("util")).first()[0] or 0
-            state = state.join(small(large), F.col("p") == F.col("big"), "left_semi")
+            large = sizes.where(F.col("n") > local_elements).select(F.col("p").alias("big")).persist(StorageLevel.MEMORY_AND_DISK)
+            broad = small(large)
+            finish(state.join(broad, F.col("p") == F.col("big"), "left_anti"))
+            state = state.join(broad, F.col("p") == F.col("big"), "left_semi")
         state = state.where(F.size("rem") > 0)
         if merging:
             state = stored(merge(state), "merged")
@@ -175,7 +176,7 @@ def mine(tx: DataFrame, min_util: int, *, declared: DataFrame | None = None, loc
         candidates += grown
         if not grown:
             break
-        state = stored(extend(state, limits, min_util), "level")
+        state, seen = observed(extend(state, limits, min_util), "level", n=F.sum(F.size("rem")))
     found = reduce(DataFrame.unionAll, parts)
     phases["search"] = time.perf_counter() - clock
     return Mined(found, candidates, level, phases)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -56,3 +56,10 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``stored``, with aggregates of the rows taken while they are written; 0 where there are none."""
+    watch = Observation()
+    table = stored(df.observe(watch, *[m.alias(k) for k, m in metrics.items()]), name)
+    return table, {k: v or 0 for k, v in watch.get.items()}
