@@ -13,7 +13,9 @@ d = n - ceil(t n). So with rare classes first:
   size are indexed both ways, since two similar sets can lie on either side.
 
 Frequencies come from a count sketch of fixed size over all documents; a class taken too
-high by a collision changes the order for all sets alike, and so loses no pair.
+high by a collision changes the order for all sets alike, and so loses no pair. Pairs that
+an index entry proposes must share ``EXTRA`` of their first d + ``EXTRA`` tokens before
+their whole sets are read.
 
 Equal sets are one class. Within an index entry, first every member is verified against
 leaders, and components of the verified links are formed; then members of different
@@ -39,10 +41,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm import batches
 from lodestone.llm.components import connected_components
 from lodestone.session import stored
 
-SKETCH_BITS, BITMAP_BITS, PAGE = 22, 26, 1 << 16
+SKETCH_BITS, BITMAP_BITS, PAGE = 24, 26, 1 << 18
+#: Tokens kept beyond the first d of the common order; two similar sets share so many of them.
+EXTRA = 8
 CHUNK = 1 << 20
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
@@ -125,10 +130,12 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
-def frequency_classes(docs: DataFrame, width: int) -> np.ndarray:
-    """Class of every sketch cell: 0 for the usual load, else by the logarithm of the count. 4 MB at any size.
+def frequency_classes(docs: DataFrame, width: int) -> tuple[np.ndarray, int]:
+    """Class of every sketch cell, by ascending count, and the first class of frequent tokens. 16 MB at any size.
 
     Each partition sums into one sketch and sends it in pages; pages are summed in two steps.
+    Classes are quantiles of the cells' counts, and above the usual load steps of a logarithm,
+    so that a token that is more frequent than others stands out from its cell's noise.
     """
     cells = 1 << SKETCH_BITS
 
@@ -137,13 +144,14 @@ def frequency_classes(docs: DataFrame, width: int) -> np.ndarray:
 
         def flush() -> None:
             if held:
-                total[:] += np.bincount(np.concatenate(held), minlength=cells).astype(np.uint32)
+                cell, n = np.unique(np.concatenate(held), return_counts=True)
+                total[cell] += n.astype(np.uint32)
                 held.clear()
 
         for b in batches:
             for _, s in shingle_sets(b.column(1), width):
                 held.append((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
-                if len(held) >= 4000:
+                if len(held) >= 2000:
                     flush()
         flush()
         if total.any():
@@ -162,7 +170,11 @@ def frequency_classes(docs: DataFrame, width: int) -> np.ndarray:
     for r in parts.groupBy("page").applyInPandas(add, schema).collect():
         counts[r["page"] * PAGE : (r["page"] + 1) * PAGE] = np.frombuffer(zstandard.decompress(bytes(r["sums"])), np.uint32)
     usual = max(16.0, 3.0 * counts.mean())
-    return np.maximum(0, np.ceil(np.log2(np.maximum(counts, 1) / usual))).astype(np.uint8)
+    some = counts[:: max(1, cells >> 18)]
+    low = np.unique(np.quantile(some[some <= usual], np.linspace(0, 1, 150)).astype(np.uint32)) if (some <= usual).any() else np.zeros(1, np.uint32)
+    levels = np.concatenate([low[low < usual], np.unique((usual * 2 ** (np.arange(90) / 4)).clip(0, 2**32 - 1).astype(np.uint32))])
+    classes = np.concatenate([np.searchsorted(levels, counts[i : i + PAGE]).astype(np.uint8) for i in range(0, cells, PAGE)])
+    return classes, int(np.searchsorted(levels, int(usual))) + 1
 
 
 def _slack(n: Column | int, num: int, den: int) -> Column | int:
@@ -171,8 +183,8 @@ def _slack(n: Column | int, num: int, den: int) -> Column | int:
     return n - need
 
 
-def _prefixes(docs: DataFrame, classes: np.ndarray, width: int, num: int, den: int) -> DataFrame:
-    """id, n, digest, prefix (the first d + 2 tokens in the common order), rare (how many of them are rare)."""
+def _prefixes(docs: DataFrame, classes: np.ndarray, frequent: int, width: int, num: int, den: int) -> DataFrame:
+    """id, n, digest, prefix (the first d + EXTRA tokens in the common order), rare (how many of them are rare)."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,11 +194,11 @@ def _prefixes(docs: DataFrame, classes: np.ndarray, width: int, num: int, den: i
             for _, s in shingle_sets(b.column(1), width):
                 k = len(s)
                 cls = table[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                order = np.argsort((cls.astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6)), kind="stable")[: _slack(k, num, den) + 2]
+                order = np.argsort((cls.astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8)), kind="stable")[: _slack(k, num, den) + EXTRA]
                 n.append(k)
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 prefix.append(s[order].view(np.int64))
-                rare.append(int((cls[order] == 0).sum()))
+                rare.append(int((cls[order] < frequent).sum()))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(rare, pa.int32())],
                 ["id", "n", "digest", "prefix", "rare"],
@@ -199,7 +211,7 @@ def _prefixes(docs: DataFrame, classes: np.ndarray, width: int, num: int, den: i
 def index_entries(reps: DataFrame, num: int, den: int, combine_up_to: int) -> DataFrame:
     """(sig, node, n) of the single tokens and combinations that two sets at least have."""
     d = _slack(F.col("n"), num, den).cast("int")
-    tokens = reps.select("node", "n", d.alias("d"), "rare", F.posexplode("prefix").alias("pos", "token"))
+    tokens = reps.select("node", "n", d.alias("d"), "rare", F.posexplode(F.slice("prefix", F.lit(1), d + 2)).alias("pos", "token"))
     often = tokens.groupBy(F.col("token").alias("t")).agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("t")
     held = stored(tokens.join(often, F.col("token") == F.col("t")).select("node", "n", "d", (F.col("pos") < F.col("rare")).alias("is_rare"), "pos", "token"), "tokens")
     small = F.col("n") * num <= F.lit(combine_up_to) * den
@@ -253,6 +265,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(left, "a").join(right, "b").where(den * both >= num * (F.size("ta") + F.size("tb") - both)).select("a", "b")
 
 
+def _likely(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that share as many of their first tokens as similar sets must: EXTRA, or all that must be common."""
+    left, right = (reps.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"p{x}")) for x in "ab")
+    need = F.least(F.lit(EXTRA), F.ceil(F.greatest("na", "nb") * num / F.lit(den)))
+    return pairs.join(left, "a").join(right, "b").where(F.size(F.array_intersect("pa", "pb")) >= need).select("a", "b")
+
+
 def _pairs(rows: DataFrame, x: str, y: str, nx: str, ny: str, num: int, den: int) -> DataFrame:
     fits = (F.col(x) != F.col(y)) & (den * F.least(nx, ny) >= num * F.greatest(nx, ny))
     return rows.where(fits).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
@@ -262,31 +281,36 @@ def jaccard_components(
     docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, combine_up_to: int = 1000, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """id, n_shingles, component_id for every row. Sets link where den * intersection >= num * union."""
+    batches.bound(docs.sparkSession)
     src = _source(docs, id_col, text_col)
-    base = stored(_prefixes(src, frequency_classes(src, width), width, num, den), "prefixes")
+    base = stored(_prefixes(src, *frequency_classes(src, width), width, num, den), "prefixes")
     able = base.where(F.col("id").isNotNull() & (F.col("n") > 0))
     reps = stored(able.groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("rare").alias("rare")), "classes")
     entries = stored(index_entries(reps, num, den, combine_up_to), "index")
-    members = entries.select("node").distinct().join(reps.select(F.col("node").alias("r"), "digest"), F.col("node") == F.col("r")).select("node", "digest")
-    sets = _sets_of(src, stored(members, "members"), width)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        likely = stored(_likely(pairs, reps, num, den), "pairs")
+        nodes = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        members = stored(nodes.join(reps.select(F.col("node").alias("r"), "digest"), F.col("node") == F.col("r")).select("node", "digest"), "members")
+        return stored(_verified(likely, _sets_of(src, members, width), num, den), "links")
 
     # leaders: of each entry the smallest and the largest id
     lead = entries.groupBy(F.col("sig").alias("s")).agg(F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high"))
     led = entries.join(lead, F.col("sig") == F.col("s"))
     starred = led.select("node", "n", F.explode(F.array("low", "high")).alias("to")).select("node", "n", F.col("to.node").alias("to"), F.col("to.n").alias("to_n"))
-    tried = stored(_pairs(starred, "node", "to", "n", "to_n", num, den), "pairs")
-    links = stored(_verified(tried, sets, num, den), "links")
+    tried = stored(_pairs(starred, "node", "to", "n", "to_n", num, den), "tried")
+    links = linked(tried)
     parts = connected_components(links)
 
     # the rest: members of one entry that are still in different components
     label = parts.select(F.col("node").alias("p"), F.col("component").alias("c"))
     named = entries.join(label, F.col("node") == F.col("p"), "left").select("sig", "node", "n", F.coalesce("c", "node").alias("c"))
-    mixed = named.groupBy(F.col("sig").alias("s")).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("s")
+    mixed = named.groupBy(F.col("sig").alias("s")).agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi and k > 2").select("s")
     rest = stored(named.join(mixed, F.col("sig") == F.col("s")).select("sig", "node", "n", "c"), "rest")
     other = rest.select(F.col("sig").alias("s2"), F.col("node").alias("to"), F.col("n").alias("to_n"), F.col("c").alias("c2"))
     crossed = rest.join(other, (F.col("sig") == F.col("s2")) & (F.col("node") < F.col("to")) & (F.col("c") != F.col("c2")))
-    more = _pairs(crossed, "node", "to", "n", "to_n", num, den).join(tried, ["a", "b"], "left_anti")
-    final = connected_components(links.unionAll(_verified(more, sets, num, den)))
+    more = stored(_pairs(crossed, "node", "to", "n", "to_n", num, den).join(tried, ["a", "b"], "left_anti"), "more")
+    final = connected_components(links.unionAll(linked(more))) if not more.isEmpty() else parts
 
     label = final.select(F.col("node").alias("p"), F.col("component").alias("c"))
     classes = reps.select(F.col("digest").alias("k"), "node").join(label, F.col("node") == F.col("p"), "left").select("k", F.coalesce("c", "node").alias("component"))
