@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm import batches
+
 BUCKETS = 1 << 14
 CHUNK = 1 << 20
 UNKNOWN = "und"
@@ -93,7 +95,9 @@ def fit(texts: list[str], langs: list[str], *, rounds: int = 250, rate: float =
         return None
     languages = sorted(set(langs))
     code = codewords(len(languages))
-    x = np.sqrt(np.stack([frequencies(t) for t in texts]).astype(np.float32))
+    x = np.empty((len(texts), BUCKETS), np.float32)
+    for i, t in enumerate(texts):
+        x[i] = np.sqrt(frequencies(t))
     y = code[[languages.index(v) for v in langs]].astype(np.float32)
     if not code.shape[1]:
         return Model(languages, code, np.zeros((BUCKETS, 0)), np.zeros(0), np.zeros(0))
@@ -166,6 +170,7 @@ def predict(docs: DataFrame, model: Model | None, *, ambiguous_below: float = 0.
     """id, lang_pred, score, ambiguous for every row, from the text alone."""
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["id"].dataType.simpleString()
+    batches.bound(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BUCKETS and the code
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,6 +184,7 @@ def predict(docs: DataFrame, model: Model | None, *, ambiguous_below: float = 0.
 def keep_identified(docs: DataFrame, *, per_language: int = 500, ambiguous_below: float = 0.2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows, whole, whose text is in one of the learned languages without ambiguity."""
     rows = sample(docs, ~held_out(id_col), per_language=per_language, id_col=id_col, text_col=text_col, lang_col=lang_col)
+    batches.bound(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fit([t for t, _ in rows], [v for _, v in rows]))
     at = docs.columns.index(text_col)
 
