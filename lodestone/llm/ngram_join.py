@@ -209,22 +209,22 @@ def _prefixes(docs: DataFrame, classes: np.ndarray, frequent: int, width: int, n
 
 
 def index_entries(reps: DataFrame, num: int, den: int, combine_up_to: int) -> DataFrame:
-    """(sig, node, n) of the single tokens and combinations that two sets at least have."""
+    """(sig, node, n, pos) of the single tokens and combinations that two sets at least have; pos: the first token's place."""
     d = _slack(F.col("n"), num, den).cast("int")
     tokens = reps.select("node", "n", d.alias("d"), "rare", F.posexplode(F.slice("prefix", F.lit(1), d + 2)).alias("pos", "token"))
     often = tokens.groupBy(F.col("token").alias("t")).agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("t")
     held = stored(tokens.join(often, F.col("token") == F.col("t")).select("node", "n", "d", (F.col("pos") < F.col("rare")).alias("is_rare"), "pos", "token"), "tokens")
     small = F.col("n") * num <= F.lit(combine_up_to) * den
     large = F.col("n") * den >= F.lit(combine_up_to) * num
-    singles = held.where((F.col("pos") <= F.col("d")) & (F.col("is_rare") | large | (F.col("n") < 2))).select(F.col("token").alias("sig"), "node", "n")
+    singles = held.where((F.col("pos") <= F.col("d")) & (F.col("is_rare") | large | (F.col("n") < 2))).select(F.col("token").alias("sig"), "node", "n", "pos")
     mine = held.where(small & (F.col("n") >= 2)).groupBy("node", "n", "d").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "is_rare"))).alias("ts")).where("exists(ts, x -> not x.is_rare)")
     combos = mine.select(
-        "node", "n", F.explode(F.expr("flatten(transform(filter(ts, x -> not x.is_rare and x.pos <= d), x -> transform(filter(ts, y -> y.pos > x.pos), y -> xxhash64(x.token, y.token))))")).alias("sig")
-    ).select("sig", "node", "n")
+        "node", "n", F.explode(F.expr("flatten(transform(filter(ts, x -> not x.is_rare and x.pos <= d), x -> transform(filter(ts, y -> y.pos > x.pos), y -> struct(xxhash64(x.token, y.token) as sig, x.pos as pos))))")).alias("e")
+    ).select("e.sig", "node", "n", "e.pos")
     entries = stored(singles.unionAll(combos), "entries")
     # an entry counts if two of its sets can be similar by their sizes
     busy = entries.groupBy(F.col("sig").alias("s")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("s")
-    return entries.join(busy, F.col("sig") == F.col("s")).select("sig", "node", "n")
+    return entries.join(busy, F.col("sig") == F.col("s")).select("sig", "node", "n", "pos")
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -272,9 +272,19 @@ def _likely(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(F.size(F.array_intersect("pa", "pb")) >= need).select("a", "b")
 
 
-def _pairs(rows: DataFrame, x: str, y: str, nx: str, ny: str, num: int, den: int) -> DataFrame:
-    fits = (F.col(x) != F.col(y)) & (den * F.least(nx, ny) >= num * F.greatest(nx, ny))
-    return rows.where(fits).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+def _can(num: int, den: int) -> Column:
+    """Whether (node, n, pos) and (to, to_n, to_pos) can link, the entry's first token being their first common one.
+
+    What is common is then among the tokens from there on. A pair whose first common token
+    is another is judged at the entry of that one.
+    """
+    need = num * (F.col("n") + F.col("to_n"))
+    reach = F.least(F.col("n") - F.col("pos"), F.col("to_n") - F.col("to_pos")) * (num + den)
+    return (F.col("node") != F.col("to")) & (den * F.least("n", "to_n") >= num * F.greatest("n", "to_n")) & (reach >= need)
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    return rows.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
 
 
 def jaccard_components(
@@ -294,22 +304,22 @@ def jaccard_components(
         members = stored(nodes.join(reps.select(F.col("node").alias("r"), "digest"), F.col("node") == F.col("r")).select("node", "digest"), "members")
         return stored(_verified(likely, _sets_of(src, members, width), num, den), "links")
 
-    # leaders: of each entry the smallest and the largest id
-    lead = entries.groupBy(F.col("sig").alias("s")).agg(F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high"))
-    led = entries.join(lead, F.col("sig") == F.col("s"))
-    starred = led.select("node", "n", F.explode(F.array("low", "high")).alias("to")).select("node", "n", F.col("to.node").alias("to"), F.col("to.n").alias("to_n"))
-    tried = stored(_pairs(starred, "node", "to", "n", "to_n", num, den), "tried")
+    # leaders: of each entry the set with the fewest tokens before the shared one (what edits made of
+    # it comes first in the order, so the others are likely its edits), and the one with the smallest id
+    lead = entries.groupBy(F.col("sig").alias("s")).agg(F.min(F.struct("pos", "node", "n")).alias("near"), F.min(F.struct("node", "n", "pos")).alias("low"))
+    heads = lead.select("s", F.explode(F.array_distinct(F.array(F.struct("near.node", "near.n", "near.pos"), "low"))).alias("to")).select("s", F.col("to.node").alias("to"), F.col("to.n").alias("to_n"), F.col("to.pos").alias("to_pos"))
+    tried = stored(_pairs(entries.join(heads, (F.col("sig") == F.col("s")) & _can(num, den))), "tried")
     links = linked(tried)
     parts = connected_components(links)
 
     # the rest: members of one entry that are still in different components
     label = parts.select(F.col("node").alias("p"), F.col("component").alias("c"))
-    named = entries.join(label, F.col("node") == F.col("p"), "left").select("sig", "node", "n", F.coalesce("c", "node").alias("c"))
+    named = entries.join(label, F.col("node") == F.col("p"), "left").select("sig", "node", "n", "pos", F.coalesce("c", "node").alias("c"))
     mixed = named.groupBy(F.col("sig").alias("s")).agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi and k > 2").select("s")
-    rest = stored(named.join(mixed, F.col("sig") == F.col("s")).select("sig", "node", "n", "c"), "rest")
-    other = rest.select(F.col("sig").alias("s2"), F.col("node").alias("to"), F.col("n").alias("to_n"), F.col("c").alias("c2"))
-    crossed = rest.join(other, (F.col("sig") == F.col("s2")) & (F.col("node") < F.col("to")) & (F.col("c") != F.col("c2")))
-    more = stored(_pairs(crossed, "node", "to", "n", "to_n", num, den).join(tried, ["a", "b"], "left_anti"), "more")
+    rest = stored(named.join(mixed, F.col("sig") == F.col("s")).select("sig", "node", "n", "pos", "c"), "rest")
+    other = rest.select(F.col("sig").alias("s2"), F.col("node").alias("to"), F.col("n").alias("to_n"), F.col("pos").alias("to_pos"), F.col("c").alias("c2"))
+    crossed = rest.join(other, (F.col("sig") == F.col("s2")) & (F.col("node") < F.col("to")) & (F.col("c") != F.col("c2")) & _can(num, den))
+    more = stored(_pairs(crossed).join(tried, ["a", "b"], "left_anti"), "more")
     final = connected_components(links.unionAll(linked(more))) if not more.isEmpty() else parts
 
     label = final.select(F.col("node").alias("p"), F.col("component").alias("c"))
