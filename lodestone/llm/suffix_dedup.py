@@ -34,11 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm import batches
 from lodestone.llm.ngram_join import _CODES, _powers, mix
 from lodestone.session import stored
 
 GRAM, SEGMENT, BITMAP_BITS = 32, 1 << 19, 26
-BLOCK_BYTES, GROUP = 1 << 20, 1500
+BLOCK_BYTES, GROUP, BUCKET_WINDOWS = 1 << 20, 1500, 400_000
 _AT = np.uint64((1 << 24) - 1)
 
 
@@ -214,11 +215,14 @@ def block_factors(contexts: list[bytes], groups: list[int], length: int) -> tupl
     return matched, earlier, starts
 
 
-_MASKS = "anchor long, ckey binary, matched binary, earlier binary, w long, whash binary, alone boolean"
+_LISTS = "ckeys array<binary>, anchors array<long>, f_ids array<string>, f_tkeys array<string>, f_los array<long>"
+_MASKS = f"anchor long, ckey binary, matched binary, earlier binary, bucket int, windows binary, {_LISTS}"
+#: One window that is first in its block: a 128-bit hash, its class in the row's lists, its place, whether it is alone.
+_WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("cls", "<i4"), ("w", "<i4"), ("alone", "?")])
 
 
-def _factor_blocks(rows: DataFrame, length: int) -> DataFrame:
-    """A mask of each class's windows and, for anchors over several blocks, a row for each window that is first in its block."""
+def _factor_blocks(rows: DataFrame, length: int, buckets: int) -> DataFrame:
+    """A mask of each class's windows; for anchors over several blocks also the windows that are first in their block, packed by hash bucket."""
 
     def run(table: pa.Table) -> pa.Table:
         seen, picked = set(), []
@@ -226,30 +230,82 @@ def _factor_blocks(rows: DataFrame, length: int) -> DataFrame:
             if k not in seen:
                 seen.add(k)
                 picked.append(i)
-        t = table.take(pa.array(picked)).sort_by([("anchor", "ascending"), ("f_id", "ascending"), ("f_tkey", "ascending"), ("f_lo", "ascending")])
-        ctx, anchor, split, ckey = (t.column(c).to_pylist() for c in ("ctx", "anchor", "split", "ckey"))
-        matched, earlier, starts = block_factors(ctx, anchor, length)
-        whole = b"".join(ctx)
-        out: tuple[list, ...] = ([], [], [], [], [], [], [])
-        at = 0
+        t = table.take(pa.array(picked)).sort_by([("anchor", "ascending"), ("f_null", "ascending"), ("f_id", "ascending"), ("f_tkey", "ascending"), ("f_lo", "ascending")])
+        ctx, split = t.column("ctx").to_pylist(), t.column("split").to_pylist()
+        matched, earlier, starts = block_factors(ctx, t.column("anchor").to_pylist(), length)
+        whole, at, masks, packed = b"".join(ctx), 0, ([], []), []
         for i, c in enumerate(ctx):
             n = len(c) - length + 1
             m, e = matched[at : at + n], earlier[at : at + n]
-            rows = [(anchor[i], ckey[i], np.packbits(m).tobytes(), np.packbits(e).tobytes(), None, None, None)]
+            masks[0].append(np.packbits(m).tobytes())
+            masks[1].append(np.packbits(e).tobytes())
             if split[i]:
-                for w in np.flatnonzero(~e):
-                    s = starts[at + w]
-                    rows.append((anchor[i], ckey[i], None, None, int(w), hashlib.blake2b(whole[s : s + length], digest_size=16).digest(), not m[w]))
-            for r in rows:
-                for o, v in zip(out, r, strict=True):
-                    o.append(v)
+                first = np.flatnonzero(~e)
+                w = np.zeros(len(first), _WINDOW)
+                hashes = b"".join(hashlib.blake2b(whole[s : s + length], digest_size=16).digest() for s in starts[at + first])
+                w["a"], w["b"] = np.frombuffer(hashes, "<u8").reshape(-1, 2).T
+                w["cls"], w["w"], w["alone"] = i, first, ~m[first]
+                packed.append(w)
             at += n
-        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.bool_()]
-        return pa.table([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], ["anchor", "ckey", "matched", "earlier", "w", "whash", "alone"])
+        n = len(ctx)
+        nothing = [None] * n
+        out = {"anchor": t.column("anchor").to_pylist(), "ckey": t.column("ckey").to_pylist(), "matched": masks[0], "earlier": masks[1], "bucket": nothing[:], "windows": nothing[:]}
+        lists = {"ckeys": ("ckey", nothing[:]), "anchors": ("anchor", nothing[:]), "f_ids": ("f_id", nothing[:]), "f_tkeys": ("f_tkey", nothing[:]), "f_los": ("f_lo", nothing[:])}
+        if packed:
+            windows = np.concatenate(packed)
+            of = (windows["a"] % np.uint64(buckets)).astype(int)
+            for k in np.unique(of):
+                part = windows[of == k]
+                used, part["cls"] = np.unique(part["cls"], return_inverse=True)
+                for name in ("anchor", "ckey", "matched", "earlier"):
+                    out[name].append(None)
+                out["bucket"].append(int(k))
+                out["windows"].append(part.tobytes())
+                for _, (source, values) in lists.items():
+                    column = t.column(source).take(pa.array(used)).to_pylist()
+                    values.append([None if v is None else str(v) for v in column] if source == "f_id" else column)
+        kinds = {"anchor": pa.int64(), "ckey": pa.binary(), "matched": pa.binary(), "earlier": pa.binary(), "bucket": pa.int32(), "windows": pa.binary()}
+        more = {"ckeys": pa.list_(pa.binary()), "anchors": pa.list_(pa.int64()), "f_ids": pa.list_(pa.string()), "f_tkeys": pa.list_(pa.string()), "f_los": pa.list_(pa.int64())}
+        return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()} | {k: pa.array(v, more[k]) for k, (_, v) in lists.items()})
 
     return rows.groupBy("block", "salt").applyInArrow(run, _MASKS)
 
 
+def _across_blocks(packed: DataFrame, numeric: bool) -> DataFrame:
+    """(anchor, ckey, also, also_late): windows of a class that other blocks have too, and those of them that have them earlier."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts, classes = [], []
+        for r in table.to_pylist():
+            w = np.frombuffer(r["windows"], _WINDOW).copy()
+            w["cls"] += len(classes)
+            parts.append(w)
+            for x in zip(r["anchors"], r["ckeys"], r["f_ids"], r["f_tkeys"], r["f_los"], strict=True):
+                known = x[2] is not None
+                classes.append((*x[:2], (known, (int(x[2]) if numeric else x[2]) if known else 0, x[3]), x[4]))
+        w = np.concatenate(parts)
+        order = np.lexsort((w["b"], w["a"]))
+        w = w[order]
+        new = np.flatnonzero(np.concatenate([[True], (w["a"][1:] != w["a"][:-1]) | (w["b"][1:] != w["b"][:-1])]))
+        also: dict[int, tuple[list[int], list[int]]] = {}
+        for s, e in zip(new, np.append(new[1:], len(w)), strict=True):
+            if e - s > 1:
+                places = [(*classes[c][2], classes[c][3] + int(k)) for c, k in zip(w["cls"][s:e], w["w"][s:e], strict=True)]
+                best = min(places)
+                for c, k, p in zip(w["cls"][s:e], w["w"][s:e], places, strict=True):
+                    here = also.setdefault(int(c), ([], []))
+                    here[0].append(int(k))
+                    if p != best:
+                        here[1].append(int(k))
+        return pa.table({
+            "anchor": pa.array([classes[c][0] for c in also], pa.int64()), "ckey": pa.array([classes[c][1] for c in also], pa.binary()),
+            "also": pa.array([x[0] for x in also.values()], pa.list_(pa.int64())), "also_late": pa.array([x[1] for x in also.values()], pa.list_(pa.int64())),
+        })
+
+    found = packed.groupBy("bucket").applyInArrow(run, "anchor long, ckey binary, also array<long>, also_late array<long>")
+    return found.groupBy(F.col("anchor").alias("xa"), F.col("ckey").alias("xc")).agg(F.flatten(F.collect_list("also")).alias("also"), F.flatten(F.collect_list("also_late")).alias("also_late"))
+
+
 def repeated_windows(docs: DataFrame, length: int, keep: str, group: int = GROUP) -> DataFrame:
     """(id, tkey, lo, mask, n): for runs of n windows from lo, which to remove (null mask: all). docs: id, text."""
     repeats = stored(_counts(docs, length), "anchors")
@@ -264,20 +320,15 @@ def repeated_windows(docs: DataFrame, length: int, keep: str, group: int = GROUP
     rows = occ.where("ctx is not null").join(named, (F.col("anchor") == F.col("m")) & (F.col("ckey") == F.col("mk"))).select(
         F.pmod("anchor", F.lit(blocks)).alias("block"),
         F.when(F.col("shares") > 1, F.concat_ws(":", "anchor", F.pmod(F.xxhash64("ckey"), "shares"))).otherwise("").alias("salt"),
-        "anchor", "ckey", "ctx", F.col("first.id").cast("string").alias("f_id"), F.col("first.tkey").alias("f_tkey"), F.col("first.lo").alias("f_lo"), (F.col("shares") > 1).alias("split"),
+        "anchor", "ckey", "ctx", F.col("first.id").isNotNull().alias("f_null"), F.col("first.id").alias("f_id"), F.col("first.tkey").alias("f_tkey"), F.col("first.lo").alias("f_lo"),
+        (F.col("shares") > 1).alias("split"),
     )
-    if docs.schema["id"].dataType.simpleString() in ("bigint", "int"):
-        rows = rows.withColumn("f_id", F.coalesce(F.col("f_id").cast("long"), F.lit(-(1 << 63))))
-    found = stored(_factor_blocks(rows, length), "factors")
-    masks = found.where("w is null").select("anchor", "ckey", "matched", "earlier")
+    hot = named.where("shares > 1").count()
+    found = stored(_factor_blocks(rows, length, 1 + hot * length // BUCKET_WINDOWS), "factors")
+    masks = found.where("bucket is null").select("anchor", "ckey", "matched", "earlier")
     # windows of anchors over several blocks: the first of each block against those of the others
-    across = found.where("w is not null").join(classes.select(F.col("anchor").alias("ca"), F.col("ckey").alias("cc"), "first"), (F.col("anchor") == F.col("ca")) & (F.col("ckey") == F.col("cc")))
-    best = across.groupBy(F.col("whash").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("first.id", "first.tkey", (F.col("first.lo") + F.col("w")).alias("at"))).alias("best"))
-    more = (
-        across.join(best.where("n > 1"), F.col("whash") == F.col("h"))
-        .withColumn("late", F.col("best") != F.struct("first.id", "first.tkey", (F.col("first.lo") + F.col("w")).alias("at")))
-        .groupBy(F.col("anchor").alias("xa"), F.col("ckey").alias("xc")).agg(F.collect_list("w").alias("also"), F.collect_list(F.when(F.col("late"), F.col("w"))).alias("also_late"))
-    )
+    numeric = docs.schema["id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
+    more = _across_blocks(found.where("bucket is not null").select("bucket", "windows", "ckeys", "anchors", "f_ids", "f_tkeys", "f_los"), numeric)
     side, extra = ("matched", "also") if keep == "none" else ("earlier", "also_late")
     masks = masks.join(more, (F.col("anchor") == F.col("xa")) & (F.col("ckey") == F.col("xc")), "left").select("anchor", "ckey", F.col(side).alias("mask"), F.col(extra).alias("extra"))
     decided = classes.join(masks.withColumnsRenamed({"anchor": "ka", "ckey": "kc"}), (F.col("anchor") == F.col("ka")) & (F.col("ckey") == F.col("kc")), "left").where("c > 1 or mask is not null")
@@ -296,6 +347,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, keep: str = "first", g
     """id, kept (binary: the bytes that stay), spans (array of start, end in bytes of the removed runs), n_bytes."""
     if keep not in ("first", "none"):
         raise ValueError("keep is first or none")
+    batches.bound(docs.sparkSession)
     src = _texts(docs, id_col, text_col)
     marks = repeated_windows(src, length, keep, group)
     per_text = marks.groupBy(F.col("id").alias("m_id"), F.col("tkey").alias("m_key")).agg(F.collect_list(F.struct("lo", "n", "mask", "extra")).alias("marks"))
