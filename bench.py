@@ -1,6 +1,6 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-Mining times are best of two after a warm-up, as the JVM compiles on first use. Minimum
+One run of each after a warm-up, as the JVM compiles on first use. Minimum
 utilities scale with the table so that the answer keeps its size.
 """
 
@@ -42,7 +42,7 @@ def main() -> None:
     seconds, rows = {}, {}
     for name, run in runs.items():
         took = []
-        for _ in range(2):
+        for _ in range(1):
             began = time.perf_counter()
             rows[name] = run()
             took.append(time.perf_counter() - began)
