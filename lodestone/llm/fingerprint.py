@@ -4,14 +4,21 @@ Lines are paragraphs. A paragraph's digest opens a new section after it when its
 digit is under 4, so that section borders follow the content and an edit moves no border
 elsewhere. A section's digest covers those of its paragraphs, the root those of the
 sections: equal texts have equal roots, and where roots differ the differing sections, and
-in them the differing paragraphs, locate the edit. Clauses (what stands between stops,
-commas, bars and line ends) are the leaves below the paragraphs; two fingerprints are as
-alike as their sets of leaves (Dice), 1 where the roots are equal.
+in them the differing paragraphs, locate the edit. Below a paragraph's digest, which
+covers them, are its pieces: the line is cut after words whose hash says so, in runs
+without blanks after characters whose hash with the three before says so, but into pieces
+of ``LEAST`` to ``PIECE`` characters (the line's last may have fewer). tree_edited and tree_next are the Dice of two trees'
+pieces, each as often as it occurs and by its characters, 1 where the roots are equal. Equal sections and
+paragraphs hold equal pieces, so this is what a descent into the differing ones finds.
+
+near_edited and near_next are the Dice of the sets of clauses (what stands between stops,
+commas, bars and line ends), which are no nodes of the tree: a text without such marks is
+one clause, and any edit makes it 0.
 
 Everything is a DataFrame expression; nothing runs in Python.
 
-Defined results: a null text is an empty one. An empty text has one empty paragraph and no
-leaves. Documents of one id (repeated rows) have the same next document; where several
+Defined results: a null text is an empty one. An empty text has one empty paragraph, no
+leaves and no pieces. Documents of one id (repeated rows) have the same next document; where several
 rows have the next id, it is the one whose needed first characters, then fingerprint, are
 least. A null id comes last in descending order. One id alone is followed by itself. An
 empty table gives no rows. Texts are read whole; only the columns named are read.
@@ -19,12 +26,16 @@ empty table gives no rows. Texts are read whole; only the columns named are read
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.session import cut
 
 DIGEST = 16
+#: A piece may end after one word in PER_WORD, and one character in PER_CHAR of a run of over RUN without blanks.
+PER_WORD, PER_CHAR, RUN, LEAST, PIECE = 2, 16, 24, 8, 96
 
 
 def _short(text: Column) -> Column:
@@ -57,17 +68,61 @@ def leaves(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.split(text, r"[\n.!?;,|]"), lambda c: c != ""), lambda c: F.hash(c)))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with ``value`` computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _cut(line: Column) -> Column:
+    """The pieces of a line, which has no line end in it."""
+
+    def marked(units: Column) -> Column:
+        def ends(u: Column, i: Column) -> Column:
+            char = F.pmod(F.hash(F.get(units, i - 3), F.get(units, i - 2), F.get(units, i - 1), u), F.lit(PER_CHAR)) == 0
+            return F.when(F.char_length(u) == 1, char).otherwise(F.pmod(F.hash(u), F.lit(PER_WORD)) == 0)
+
+        return F.array_join(F.transform(units, lambda u, i: F.when(ends(u, i), F.concat(u, F.lit("\n"))).otherwise(u)), "")
+
+    units = F.split(line, rf"(?<=\s)(?=\S)|(?<=\S{{{RUN}}})(?=\S)")
+    return F.regexp_extract_all(_let(units, marked), F.lit(rf"[^\n](?:\n?[^\n]){{0,{LEAST - 1}}}[^\n]{{0,{PIECE - LEAST}}}"), F.lit(0))
+
+
+def _length(piece: Column) -> Column:
+    return piece.bitwiseAND(F.lit(127))
+
+
+def pieces(text: Column) -> Column:
+    """Hashes of the pieces of all paragraphs, the n-th of equal ones with its n: all are distinct. The last 7 bits are a piece's length."""
+    sized = lambda h, length: h.bitwiseAND(F.lit(-128)).bitwiseOR(length)
+    hashes = F.flatten(F.transform(F.split(text, "\n"), lambda line: F.transform(_cut(line), lambda p: sized(F.xxhash64(p), F.char_length(p).cast("long")))))
+
+    def numbered(s: Column) -> Column:
+        firsts = F.filter(F.transform(s, lambda h, i: F.when((i == 0) | (h != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+        times = lambda at, i, j: F.sequence(F.lit(1), F.coalesce(F.get(at, j + 1), F.size(s)) - i)
+        return _let(firsts, lambda at: F.flatten(F.transform(at, lambda i, j: F.transform(times(at, i, j), lambda n: sized(F.xxhash64(F.get(s, i), n), _length(F.get(s, i)))))))
+
+    return _let(F.sort_array(hashes), numbered)
+
+
 def likeness(a: Column, a_leaves: Column, b: Column, b_leaves: Column) -> Column:
     """0 to 1 from two fingerprints and their leaves."""
     total = F.size(a_leaves) + F.size(b_leaves)
     return F.when(a == b, F.lit(1.0)).when(total == 0, F.lit(0.0)).otherwise(2.0 * F.size(F.array_intersect(a_leaves, b_leaves)) / total)
 
 
+def tree_likeness(a: Column, a_pieces: Column, b: Column, b_pieces: Column) -> Column:
+    """0 to 1 from two fingerprints and their pieces."""
+    length = lambda ps: F.aggregate(ps, F.lit(0).cast("long"), lambda n, p: n + _length(p))
+    total = length(a_pieces) + length(b_pieces)
+    return F.when(a == b, F.lit(1.0)).when(total == 0, F.lit(0.0)).otherwise(2.0 * length(F.array_intersect(a_pieces, b_pieces)) / total)
+
+
 def tree(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, root, sections, paragraphs of every row."""
-    paras = docs.select(F.col(id_col).alias("id"), paragraphs(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("paragraphs"))
+    """id, root, sections, paragraphs, pieces of every row."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    paras = docs.select(F.col(id_col).alias("id"), paragraphs(text).alias("paragraphs"), pieces(text).alias("pieces"))
     with_sections = paras.withColumn("sections", sections(F.col("paragraphs")))
-    return with_sections.select("id", root(F.col("sections")).alias("root"), "sections", "paragraphs")
+    return with_sections.select("id", root(F.col("sections")).alias("root"), "sections", "paragraphs", "pieces")
 
 
 def locate_edits(left: Column, right: Column) -> Column:
@@ -96,27 +151,32 @@ def _cycle(ids: DataFrame) -> DataFrame:
 
 
 def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, tree_edited, tree_next.
 
     The edited text has its last third replaced by the first characters of the next
     document in descending id order.
     """
     plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    base = plain.withColumn("fp", fingerprint(F.col("text"))).withColumn("lv", leaves(F.col("text")))
     third = lambda text: F.floor(F.char_length(text) / 3).cast("int")
     ring = _cycle(plain.groupBy("id").agg(F.max(third(F.col("text"))).alias("need")))
-    # what an id needs of its next document goes to it: a third of the text, and the leaves
+    # what an id needs of its next document goes to it: a third of the text, the leaves and the pieces.
+    # Both sides compute them after the shuffle of the texts, which would carry them else
+    text = F.col("text")
+    # and all shuffles are by one key (a struct, in which nulls are equal), so that the heads are shuffled once
+    keyed = plain.select(F.struct("id").alias("key"), "text")
     heads = (
-        base.join(ring, F.col("id").eqNullSafe(F.col("next_id")))
-        .select("n_id", F.struct(F.expr("left(text, need)").alias("head"), F.col("fp").alias("next_fp"), F.col("lv").alias("next_lv")).alias("next"))
-        .groupBy("n_id").agg(F.min("next").alias("next"))
+        keyed.join(ring.withColumn("next_key", F.struct(F.col("next_id").alias("id"))), F.col("key") == F.col("next_key"))
+        .select(F.struct(F.col("n_id").alias("id")).alias("n_key"), F.struct(F.expr("left(text, need)").alias("head"), fingerprint(text).alias("next_fp"), leaves(text).alias("next_lv"), pieces(text).alias("next_pc")).alias("next"))
+        .groupBy("n_key").agg(F.min("next").alias("next"))
     )
-    both = base.join(heads, F.col("id").eqNullSafe(F.col("n_id")))
+    both = keyed.join(heads, F.col("key") == F.col("n_key")).withColumns({"fp": fingerprint(text), "lv": leaves(text), "pc": pieces(text)})
     k, n = third(F.col("text")), F.char_length("text")
     edited = both.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - k), F.substring(F.col("next.head"), F.lit(1), k)))
-    out = edited.withColumn("efp", fingerprint(F.col("edited"))).withColumn("elv", leaves(F.col("edited")))
+    out = edited.withColumn("efp", fingerprint(F.col("edited"))).withColumn("elv", leaves(F.col("edited"))).withColumn("epc", pieces(F.col("edited")))
     return out.select(
-        "id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.col("fp").alias("fingerprint"), F.col("efp").alias("edited_fingerprint"),
+        "key.id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.col("fp").alias("fingerprint"), F.col("efp").alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("lv"), F.col("efp"), F.col("elv")).alias("near_edited"),
         likeness(F.col("fp"), F.col("lv"), F.col("next.next_fp"), F.col("next.next_lv")).alias("near_next"),
+        tree_likeness(F.col("fp"), F.col("pc"), F.col("efp"), F.col("epc")).alias("tree_edited"),
+        tree_likeness(F.col("fp"), F.col("pc"), F.col("next.next_fp"), F.col("next.next_pc")).alias("tree_next"),
     )

@@ -70,6 +70,20 @@ def test_differing_branches_locate_edits(spark):
     assert both.select(fingerprint.locate_edits(F.col("p"), F.col("q")).alias("x")).first()["x"] == [2]
 
 
+def test_edits_leave_the_other_pieces_alike(spark):
+    rng = random.Random(5)
+    words = " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 9))) for _ in range(400))  # one line, no clause ends
+    run = "".join(rng.choices("abcdefghijklmnop", k=3000))  # no blanks either
+    docs = documents(spark, [(1, "y " * 900, None, None), (2, words, None, None), (3, run, None, None), (4, "x" * 3000, None, None)])
+    got = {r["id"]: r for r in fingerprint.edited_fingerprints(docs).collect()}
+    for i in (2, 3, 4):
+        assert 0.5 < got[i]["tree_edited"] < 0.9 and got[i]["tree_next"] < 0.1
+    inserted = documents(spark, [(1, words, None, None), (2, "one more " + words, None, None), (3, run, None, None), (4, "q" + run, None, None)])
+    pieces = {r["id"]: (r["pieces"], set(r["pieces"])) for r in fingerprint.tree(inserted).collect()}
+    assert all(len(p) == len(s) > 30 for p, s in pieces.values())
+    assert len(pieces[1][1] & pieces[2][1]) >= len(pieces[1][0]) - 2 and len(pieces[3][1] & pieces[4][1]) >= len(pieces[3][0]) - 4
+
+
 # packing
 
 
