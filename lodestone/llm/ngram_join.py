@@ -22,6 +22,8 @@ leaders, and components of the verified links are formed; then members of differ
 components are verified with each other, until all that share an entry are either in one
 component or known to be unlike. Verification compares whole sets.
 
+A component is named by its smallest id.
+
 Defined results: a null or empty text, or one without words, has no tokens and links with
 nothing. A row with a null id has a null component and links with nothing. Rows are joined
 by their text: rows of one id and one text are one document. An empty table gives no rows.
@@ -228,10 +230,10 @@ def index_entries(reps: DataFrame, num: int, den: int, combine_up_to: int) -> Da
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, tokens) of the nodes. A bitmap of fixed size, built from their ids, spares most other texts the work."""
+    """(node, tokens) of the nodes (node, id, digest). A bitmap of fixed size, built from their ids, spares most other texts the work."""
     bit = F.pmod(F.xxhash64("id"), F.lit(1 << BITMAP_BITS))
     pages = (
-        nodes.select(F.col("node").alias("id")).withColumn("bit", bit)
+        nodes.select("id").withColumn("bit", bit)
         .groupBy(F.expr("bitmap_bucket_number(bit + 1)").alias("page")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit + 1))").alias("bits")).collect()
     )
     bitmap = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
@@ -254,7 +256,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 
     kind = docs.schema["id"].dataType.simpleString()
     flagged = docs.where(F.col("id").isNotNull()).select("id", "text", bit.alias("bit")).mapInArrow(run, f"id {kind}, digest binary, tokens array<long>")
-    found = flagged.join(nodes, (F.col("id") == F.col("node")) & (flagged["digest"] == nodes["digest"]))
+    found = flagged.join(nodes, ["id", "digest"])
     return stored(found.groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
 
 
@@ -295,17 +297,19 @@ def jaccard_components(
     src = _source(docs, id_col, text_col)
     base = stored(_prefixes(src, *frequency_classes(src, width), width, num, den), "prefixes")
     able = base.where(F.col("id").isNotNull() & (F.col("n") > 0))
-    reps = stored(able.groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("rare").alias("rare")), "classes")
+    # a node is a class, not an id: rows of one id can have different texts. Numbers last, as the table is read from its files
+    equal = able.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("rare").alias("rare"))
+    reps = stored(equal.withColumn("node", F.monotonically_increasing_id()), "classes")
     entries = stored(index_entries(reps, num, den, combine_up_to), "index")
 
     def linked(pairs: DataFrame) -> DataFrame:
         likely = stored(_likely(pairs, reps, num, den), "pairs")
         nodes = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        members = stored(nodes.join(reps.select(F.col("node").alias("r"), "digest"), F.col("node") == F.col("r")).select("node", "digest"), "members")
+        members = stored(nodes.join(reps.select("node", "id", "digest"), "node"), "members")
         return stored(_verified(likely, _sets_of(src, members, width), num, den), "links")
 
     # leaders: of each entry the set with the fewest tokens before the shared one (what edits made of
-    # it comes first in the order, so the others are likely its edits), and the one with the smallest id
+    # it comes first in the order, so the others are likely its edits), and the one with the smallest number
     lead = entries.groupBy(F.col("sig").alias("s")).agg(F.min(F.struct("pos", "node", "n")).alias("near"), F.min(F.struct("node", "n", "pos")).alias("low"))
     heads = lead.select("s", F.explode(F.array_distinct(F.array(F.struct("near.node", "near.n", "near.pos"), "low"))).alias("to")).select("s", F.col("to.node").alias("to"), F.col("to.n").alias("to_n"), F.col("to.pos").alias("to_pos"))
     tried = stored(_pairs(entries.join(heads, (F.col("sig") == F.col("s")) & _can(num, den))), "tried")
@@ -323,7 +327,9 @@ def jaccard_components(
     final = connected_components(links.unionAll(linked(more))) if not more.isEmpty() else parts
 
     label = final.select(F.col("node").alias("p"), F.col("component").alias("c"))
-    classes = reps.select(F.col("digest").alias("k"), "node").join(label, F.col("node") == F.col("p"), "left").select("k", F.coalesce("c", "node").alias("component"))
+    placed = reps.select(F.col("digest").alias("k"), "node", F.col("id").alias("i")).join(label, F.col("node") == F.col("p"), "left").select("k", "i", F.coalesce("c", "node").alias("c"))
+    least = placed.groupBy("c").agg(F.min("i").alias("component"))
+    classes = placed.join(least, "c").select("k", "component")
     out = base.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("digest")).alias("digest"))
     return out.join(classes, F.col("digest") == F.col("k"), "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestone.llm import catalog, components, mixing, multi_index, ngram_join, suffix_dedup, warc
-from tests.llm.data import documents, empty
+from tests.llm.data import documents, empty, near, sentence
 
 SF = "/root/testdata/sf0.001"
 
@@ -82,6 +82,16 @@ def test_jaccard_frequent_tokens(spark, monkeypatch):
     assert Counter((r["id"], r["n_shingles"], r["component_id"]) for r in got) == _jaccard(rows, 3, 90, 100)
 
 
+def test_jaccard_of_one_id_with_two_texts(spark):
+    rng = random.Random(9)
+    a, b, c, d = (sentence(rng, 150) for _ in range(4))
+    like = lambda t: near(rng, t, 1)
+    rows = [(1, a), (1, b), (2, like(a)), (3, like(b)), (5, c), (5, d), (4, like(c)), (6, like(d)), (7, "of itself")]
+    docs = documents(spark, [(i, t, None, None) for i, t in rows])
+    got = Counter((r["id"], r["component_id"]) for r in ngram_join.jaccard_components(docs, width=5, num=80).collect())
+    assert got == Counter([(1, 1), (1, 1), (2, 1), (3, 1), (5, 4), (4, 4), (5, 5), (6, 5), (7, 7)])
+
+
 def test_jaccard_edges(spark):
     assert ngram_join.jaccard_components(empty(spark)).count() == 0
     docs = documents(spark)
