@@ -83,12 +83,24 @@ def _windows(joined: bytes, notice: Notice) -> list[tuple[int, int]]:
     return out
 
 
+def _places(part: str, notice: Notice) -> list[regex.Match]:
+    """Matches that don't overlap, in order: the best one of the whole, and those of the parts before and behind it."""
+    found, parts = [], [(0, len(part))]
+    while parts:
+        a, b = parts.pop()
+        m = notice.pattern.search(part, a, b) if b - a >= len(notice.text) - notice.edits else None
+        if m:
+            found.append(m)
+            parts += [(a, m.start()), (m.end(), b)]
+    return sorted(found, key=lambda m: m.start())
+
+
 def search(joined: bytes, notice: Notice) -> Iterator[tuple[int, int, int]]:
     """(start, end, edits) in ``joined`` of the notice's verified places, in bytes."""
     for a, b in _windows(joined, notice):
         part = joined[a:b].decode("utf-8", "ignore")
         head = a + len(joined[a:b]) - len(joined[a:b].lstrip(bytes(range(128, 192))))
-        for m in notice.pattern.finditer(part):
+        for m in _places(part, notice):
             yield head + len(part[: m.start()].encode()), head + len(part[: m.end()].encode()), sum(m.fuzzy_counts)
 
 

@@ -214,6 +214,14 @@ def test_fuzzy_notices(spark):
     assert (apache["first_word"], apache["last_word"], apache["edits"]) == (2, 9, 2)
 
 
+def test_edited_places_before_a_better_one(spark):
+    rows = [(1, "xx generel publik license yy general public license zz"), (2, "xx general public license yy generel publik license zz"), (3, "a generel public license, general public license, generel publik license")]
+    got = {r["id"]: r["notices"] for r in license_scan.scan_licenses(documents(spark, [(i, t, None, None) for i, t in rows])).collect()}
+    assert [[(n["first_word"], n["last_word"], n["edits"]) for n in got[i] if n["label"] == "gpl-like"] for i in (1, 2, 3)] == [
+        [(1, 3, 2), (5, 7, 0)], [(1, 3, 0), (5, 7, 2)], [(1, 3, 1), (4, 6, 0), (7, 9, 2)],
+    ]
+
+
 def test_pigeonhole_finds_what_matching_finds():
     import regex
 
