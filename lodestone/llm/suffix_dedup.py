@@ -1,4 +1,4 @@
-r"""Suffix-array dedup by longest-previous-factor arrays.
+r"""Suffix dedup by ranks of suffixes cut to ``length`` bytes.
 
 A byte string of ``length`` bytes that starts at two places, in one document or in two, is
 a repeat. To find all of them without one suffix array over the corpus, the suffixes are
@@ -7,9 +7,9 @@ dealt out by content: in each window of ``length`` bytes the ``GRAM``-gram of le
 equal places. Anchors are counted over all documents; only those that occur twice send
 their context. Equal contexts are one class. Within an anchor, the classes' contexts are
 laid end to end in the order of their first occurrence and suffix-sorted up to ``length``
-bytes; among the suffixes that agree so far, previous and next smaller positions tell
-which have an earlier match (a longest previous factor of ``length`` or more), and which
-have any match at all.
+bytes; of the suffixes that agree so far, all but the first have an earlier match, and if
+there are two or more, all have a match. That is whether a longest previous factor reaches
+``length``; the factors' lengths are not computed.
 
 An anchor with more classes than ``group`` is dealt out over several blocks; windows that
 are first in their block are then compared across blocks by a 128-bit hash.
@@ -164,7 +164,7 @@ def suffix_classes(text: np.ndarray, length: int) -> np.ndarray:
 
 
 def longest_previous_factors(text: bytes) -> list[int]:
-    """For each position, the length of the longest factor that also starts earlier.
+    """For each position, the length of the longest factor that also starts earlier. On no query's path; for tests.
 
     From the suffix order with its common prefixes, taking positions from last to first:
     the nearest smaller positions before and after one in the order hold its longest
@@ -197,8 +197,8 @@ def longest_previous_factors(text: bytes) -> list[int]:
 def block_factors(contexts: list[bytes], groups: list[int], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Flags of the windows of the contexts, in turn: has a match; has an earlier one; and the window's text.
 
-    Only suffixes of one group match. In suffix order, of those that agree on ``length``
-    bytes the smallest position has no smaller one before or after it; all others do.
+    Only suffixes of one group match. Of those that agree on ``length`` bytes, all but the
+    one of smallest position have an earlier match.
     """
     sizes = np.array([len(c) for c in contexts])
     rank = suffix_classes(np.frombuffer(b"".join(contexts), np.uint8), length)
