@@ -45,6 +45,18 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until none is a column of ``df`` (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once, its lineage cut by a reliable checkpoint."""
     shared_dir(df.sparkSession)
