@@ -3,22 +3,24 @@ r"""Document fingerprints: a Merkle tree over paragraphs and sections.
 Lines are paragraphs. A paragraph's digest opens a new section after it when its last hex
 digit is under 4, so that section borders follow the content and an edit moves no border
 elsewhere. A section's digest covers those of its paragraphs, the root those of the
-sections: equal texts have equal roots, and where roots differ the differing sections, and
-in them the differing paragraphs, locate the edit. Below a paragraph's digest, which
-covers them, are its pieces: the line is cut after words whose hash says so, in runs
-without blanks after characters whose hash with the three before says so, but into pieces
-of ``LEAST`` to ``PIECE`` characters (the line's last may have fewer). tree_edited and tree_next are the Dice of two trees'
-pieces, each as often as it occurs and by its characters, 1 where the roots are equal. Equal sections and
-paragraphs hold equal pieces, so this is what a descent into the differing ones finds.
-
-near_edited and near_next are the Dice of the sets of clauses (what stands between stops,
-commas, bars and line ends), which are no nodes of the tree: a text without such marks is
-one clause, and any edit makes it 0.
+sections: equal texts have equal roots. The fingerprint is the root and the sections'
+digests.
+
+The leaves are the pieces of the paragraphs: a line is cut after words whose hash says so,
+in runs without blanks after characters whose hash with the three before says so, but into
+pieces of ``LEAST`` to ``PIECE`` characters (a line's last may have fewer). A paragraph's
+digest, over the line that its pieces make up, covers them.
+
+near_edited and near_next are the likeness of two trees: 1 where the roots are equal, else
+the Dice of their leaves, each as often as it occurs and by its characters. Equal sections
+and paragraphs hold equal leaves, so this is what a descent into the differing branches
+finds; trees without a common leaf have 0. ``locate_edits`` goes down the differing
+branches and says which paragraphs were changed and which moved.
 
 Everything is a DataFrame expression; nothing runs in Python.
 
-Defined results: a null text is an empty one. An empty text has one empty paragraph, no
-leaves and no pieces. Documents of one id (repeated rows) have the same next document; where several
+Defined results: a null text is an empty one. An empty text has one empty paragraph and no
+leaves. Documents of one id (repeated rows) have the same next document; where several
 rows have the next id, it is the one whose needed first characters, then fingerprint, are
 least. A null id comes last in descending order. One id alone is followed by itself. An
 empty table gives no rows. Texts are read whole; only the columns named are read.
@@ -33,7 +35,8 @@ from pyspark.sql import functions as F
 
 from lodestone.session import cut
 
-DIGEST = 16
+#: Hex digits of an inner node: 128 bits.
+DIGEST = 32
 #: A piece may end after one word in PER_WORD, and one character in PER_CHAR of a run of over RUN without blanks.
 PER_WORD, PER_CHAR, RUN, LEAST, PIECE = 2, 16, 24, 8, 96
 
@@ -63,11 +66,6 @@ def fingerprint(text: Column) -> Column:
     return F.concat_ws(":", root(sects), F.array_join(sects, ""))
 
 
-def leaves(text: Column) -> Column:
-    """Distinct 32-bit hashes of the clauses."""
-    return F.array_distinct(F.transform(F.filter(F.split(text, r"[\n.!?;,|]"), lambda c: c != ""), lambda c: F.hash(c)))
-
-
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with ``value`` computed once."""
     return F.transform(F.array(value), body)[0]
@@ -78,13 +76,15 @@ def _cut(line: Column) -> Column:
 
     def marked(units: Column) -> Column:
         def ends(u: Column, i: Column) -> Column:
-            char = F.pmod(F.hash(F.get(units, i - 3), F.get(units, i - 2), F.get(units, i - 1), u), F.lit(PER_CHAR)) == 0
-            return F.when(F.char_length(u) == 1, char).otherwise(F.pmod(F.hash(u), F.lit(PER_WORD)) == 0)
+            char = F.pmod(F.xxhash64(F.get(units, i - 3), F.get(units, i - 2), F.get(units, i - 1), u), F.lit(PER_CHAR)) == 0
+            return F.when(F.char_length(u) == 1, char).otherwise(F.pmod(F.xxhash64(u), F.lit(PER_WORD)) == 0)
 
         return F.array_join(F.transform(units, lambda u, i: F.when(ends(u, i), F.concat(u, F.lit("\n"))).otherwise(u)), "")
 
-    units = F.split(line, rf"(?<=\s)(?=\S)|(?<=\S{{{RUN}}})(?=\S)")
-    return F.regexp_extract_all(_let(units, marked), F.lit(rf"[^\n](?:\n?[^\n]){{0,{LEAST - 1}}}[^\n]{{0,{PIECE - LEAST}}}"), F.lit(0))
+    words = r"(?<=\s)(?=\S)"
+    units = F.when(line.rlike(rf"\S{{{RUN + 1}}}"), F.split(line, rf"{words}|(?<=\S{{{RUN}}})(?=\S)")).otherwise(F.split(line, words))
+    runs = F.regexp_extract_all(_let(units, marked), F.lit(rf"[^\n](?:\n?[^\n]){{0,{LEAST - 1}}}[^\n]{{0,{PIECE - LEAST}}}"), F.lit(0))
+    return F.transform(runs, lambda r: F.translate(r, "\n", ""))
 
 
 def _length(piece: Column) -> Column:
@@ -104,14 +104,8 @@ def pieces(text: Column) -> Column:
     return _let(F.sort_array(hashes), numbered)
 
 
-def likeness(a: Column, a_leaves: Column, b: Column, b_leaves: Column) -> Column:
-    """0 to 1 from two fingerprints and their leaves."""
-    total = F.size(a_leaves) + F.size(b_leaves)
-    return F.when(a == b, F.lit(1.0)).when(total == 0, F.lit(0.0)).otherwise(2.0 * F.size(F.array_intersect(a_leaves, b_leaves)) / total)
-
-
-def tree_likeness(a: Column, a_pieces: Column, b: Column, b_pieces: Column) -> Column:
-    """0 to 1 from two fingerprints and their pieces."""
+def likeness(a: Column, a_pieces: Column, b: Column, b_pieces: Column) -> Column:
+    """0 to 1 from two fingerprints and their trees' leaves."""
     length = lambda ps: F.aggregate(ps, F.lit(0).cast("long"), lambda n, p: n + _length(p))
     total = length(a_pieces) + length(b_pieces)
     return F.when(a == b, F.lit(1.0)).when(total == 0, F.lit(0.0)).otherwise(2.0 * length(F.array_intersect(a_pieces, b_pieces)) / total)
@@ -125,10 +119,48 @@ def tree(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     return with_sections.select("id", root(F.col("sections")).alias("root"), "sections", "paragraphs", "pieces")
 
 
-def locate_edits(left: Column, right: Column) -> Column:
-    """Positions (from 0) in one list of paragraph or section digests of those that the other lacks."""
-    gone = F.array_except(left, right)
-    return F.filter(F.transform(left, lambda d, i: F.when(F.array_contains(gone, d), i)), lambda i: i.isNotNull())
+def _differing(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(id, side, pos, kind) of the nodes (id, pos, digest) that the other side lacks, or has at another place among the common ones.
+
+    The n-th of equal digests on one side goes with the n-th on the other.
+    """
+
+    def numbered(rows: DataFrame, side: str) -> DataFrame:
+        nth = F.row_number().over(Window.partitionBy("id", "digest").orderBy("pos"))
+        return rows.select(F.struct("id").alias(f"{side}_id"), F.col("digest").alias(f"{side}_d"), nth.alias(f"{side}_n"), F.col("pos").alias(side))
+
+    same = (F.col("left_id") == F.col("right_id")) & (F.col("left_d") == F.col("right_d")) & (F.col("left_n") == F.col("right_n"))
+    both = numbered(left, "left").join(numbered(right, "right"), same, "full").withColumn("of", F.coalesce("left_id", "right_id"))
+    common = F.col("left").isNotNull() & F.col("right").isNotNull()
+    place = lambda side: F.row_number().over(Window.partitionBy("of", common).orderBy(side))
+    placed = both.withColumn("moved", common & (place("left") != place("right")))
+    sides = [
+        placed.where(F.col(side).isNotNull() & (~common | F.col("moved"))).select("of.id", F.lit(side).alias("side"), F.col(side).alias("pos"), F.when(F.col("moved"), "moved").otherwise("changed").alias("kind"))
+        for side in ("left", "right")
+    ]
+    return sides[0].unionAll(sides[1])
+
+
+def locate_edits(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(id, side, paragraph, kind) from two versions' trees, as ``tree`` gives them, one row an id.
+
+    Only where roots differ are sections compared, and only paragraphs of differing sections
+    then. ``paragraph`` counts from 0 on its side; ``kind`` is changed, or moved where both
+    have it at different places among the common ones of the differing sections. An id that
+    one side lacks isn't compared.
+    """
+    roots = [t.select(F.struct("id").alias(f"{x}_key"), F.col("root").alias(f"{x}_root")) for t, x in ((left, "l"), (right, "r"))]
+    differ = roots[0].join(roots[1], (F.col("l_key") == F.col("r_key")) & (F.col("l_root") != F.col("r_root"))).select(F.col("l_key").alias("key"))
+    both = [t.join(differ, F.struct("id") == F.col("key"), "left_semi") for t in (left, right)]
+    sects = [t.select("id", F.posexplode("sections").alias("pos", "digest")) for t in both]
+    open_ = _differing(*sects).select(F.struct("id").alias("key"), "side", F.col("pos").alias("sect")).distinct()
+    before = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    border = (F.substring("digest", -1, 1) < "4").cast("long")
+    paras = []
+    for t, side in zip(both, ("left", "right"), strict=True):
+        rows = t.select("id", F.posexplode("paragraphs").alias("pos", "digest")).withColumn("in", F.coalesce(F.sum(border).over(before), F.lit(0)))
+        paras.append(rows.join(open_.where(F.col("side") == side), (F.struct("id") == F.col("key")) & (F.col("in") == F.col("sect")), "left_semi").select("id", "pos", "digest"))
+    return _differing(*paras).select("id", "side", F.col("pos").alias("paragraph"), "kind")
 
 
 def _cycle(ids: DataFrame) -> DataFrame:
@@ -151,7 +183,7 @@ def _cycle(ids: DataFrame) -> DataFrame:
 
 
 def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, tree_edited, tree_next.
+    """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last third replaced by the first characters of the next
     document in descending id order.
@@ -159,24 +191,22 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     third = lambda text: F.floor(F.char_length(text) / 3).cast("int")
     ring = _cycle(plain.groupBy("id").agg(F.max(third(F.col("text"))).alias("need")))
-    # what an id needs of its next document goes to it: a third of the text, the leaves and the pieces.
+    # what an id needs of its next document goes to it: a third of the text and the leaves.
     # Both sides compute them after the shuffle of the texts, which would carry them else
     text = F.col("text")
     # and all shuffles are by one key (a struct, in which nulls are equal), so that the heads are shuffled once
     keyed = plain.select(F.struct("id").alias("key"), "text")
     heads = (
         keyed.join(ring.withColumn("next_key", F.struct(F.col("next_id").alias("id"))), F.col("key") == F.col("next_key"))
-        .select(F.struct(F.col("n_id").alias("id")).alias("n_key"), F.struct(F.expr("left(text, need)").alias("head"), fingerprint(text).alias("next_fp"), leaves(text).alias("next_lv"), pieces(text).alias("next_pc")).alias("next"))
+        .select(F.struct(F.col("n_id").alias("id")).alias("n_key"), F.struct(F.expr("left(text, need)").alias("head"), fingerprint(text).alias("fp"), pieces(text).alias("pc")).alias("next"))
         .groupBy("n_key").agg(F.min("next").alias("next"))
     )
-    both = keyed.join(heads, F.col("key") == F.col("n_key")).withColumns({"fp": fingerprint(text), "lv": leaves(text), "pc": pieces(text)})
+    both = keyed.join(heads, F.col("key") == F.col("n_key")).withColumns({"fp": fingerprint(text), "pc": pieces(text)})
     k, n = third(F.col("text")), F.char_length("text")
     edited = both.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - k), F.substring(F.col("next.head"), F.lit(1), k)))
-    out = edited.withColumn("efp", fingerprint(F.col("edited"))).withColumn("elv", leaves(F.col("edited"))).withColumn("epc", pieces(F.col("edited")))
+    out = edited.withColumn("efp", fingerprint(F.col("edited"))).withColumn("epc", pieces(F.col("edited")))
     return out.select(
         "key.id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.col("fp").alias("fingerprint"), F.col("efp").alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("lv"), F.col("efp"), F.col("elv")).alias("near_edited"),
-        likeness(F.col("fp"), F.col("lv"), F.col("next.next_fp"), F.col("next.next_lv")).alias("near_next"),
-        tree_likeness(F.col("fp"), F.col("pc"), F.col("efp"), F.col("epc")).alias("tree_edited"),
-        tree_likeness(F.col("fp"), F.col("pc"), F.col("next.next_fp"), F.col("next.next_pc")).alias("tree_next"),
+        likeness(F.col("fp"), F.col("pc"), F.col("efp"), F.col("epc")).alias("near_edited"),
+        likeness(F.col("fp"), F.col("pc"), F.col("next.fp"), F.col("next.pc")).alias("near_next"),
     )

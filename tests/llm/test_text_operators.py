@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lodestone.llm import catalog, fingerprint, langid, license_scan, packing, secret_scan
@@ -27,15 +28,41 @@ def rows_of(docs):
 
 
 def _fingerprint(text):
-    paras = [hashlib.sha256(p.encode()).hexdigest()[:16] for p in text.split("\n")]
+    paras = [hashlib.sha256(p.encode()).hexdigest()[:32] for p in text.split("\n")]
     marked = "".join(d + ("|" if d[-1] < "4" else "") for d in paras)
-    sects = [hashlib.sha256(s.encode()).hexdigest()[:16] for s in marked.split("|") if s]
+    sects = [hashlib.sha256(s.encode()).hexdigest()[:32] for s in marked.split("|") if s]
     return hashlib.sha256("".join(sects).encode()).hexdigest() + ":" + "".join(sects)
 
 
+def _chained(*parts):
+    h = 42
+    for p in parts:
+        h = xxhash.xxh64(p.encode(), seed=h).intdigest()
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _leaves(text):
+    out = Counter()
+    for line in text.split("\n"):
+        units = [u for u in re.split(r"(?<=\s)(?=\S)|(?<=\S{24})(?=\S)", line, flags=re.ASCII) if u]
+        piece = ""
+        for i, u in enumerate(units):
+            cut = _chained(*units[max(0, i - 3) : i + 1]) % 16 == 0 if len(u) == 1 else _chained(u) % 2 == 0
+            for j, c in enumerate(u):
+                piece += c
+                if len(piece) == 96 or (len(piece) >= 8 and cut and j == len(u) - 1):
+                    out[piece] += 1
+                    piece = ""
+        out[piece] += bool(piece)
+    return out
+
+
 def _alike(a, b):
-    x, y = ({c for c in re.split(r"[\n.!?;,|]", t) if c} for t in (a, b))
-    return 1.0 if _fingerprint(a) == _fingerprint(b) else 0.0 if not x | y else 2 * len(x & y) / (len(x) + len(y))
+    if a == b:
+        return 1.0
+    size = lambda c: sum(len(p) * n for p, n in c.items())
+    x, y = _leaves(a), _leaves(b)
+    return 2 * size(x & y) / (size(x) + size(y)) if x or y else 0.0
 
 
 @pytest.mark.parametrize("source", ["odd", "table"])
@@ -64,10 +91,15 @@ def test_fingerprints_of_repeated_rows_and_none(spark):
 
 
 def test_differing_branches_locate_edits(spark):
-    docs = documents(spark, [(1, "a\nb\nc\nd", None, None), (2, "a\nb\nX\nd", None, None)])
-    t = fingerprint.tree(docs)
-    both = t.where("id = 1").select(F.col("paragraphs").alias("p")).crossJoin(t.where("id = 2").select(F.col("paragraphs").alias("q")))
-    assert both.select(fingerprint.locate_edits(F.col("p"), F.col("q")).alias("x")).first()["x"] == [2]
+    lines = [f"paragraph {i} of the text" for i in range(60)]
+    left = {1: "a\nb\nc\nd", 2: "a\nb", 3: "a\na\na", 4: "same\ntext", 5: "\n".join(lines), 6: "\n".join(lines), None: "x\ny"}
+    right = {1: "a\nb\nX\nd", 2: "b\na", 3: "a\na", 4: "same\ntext", 5: "\n".join([*lines[:30], "one more", *lines[30:]]), 6: "\n".join([*lines[:10], *lines[11:]]), None: "x\nz"}
+    trees = [fingerprint.tree(documents(spark, [(i, t, None, None) for i, t in side.items()])) for side in (left, right)]
+    got = sorted(((r["id"], r["side"], r["paragraph"], r["kind"]) for r in fingerprint.locate_edits(*trees).collect()), key=str)
+    want = [(1, "left", 2, "changed"), (1, "right", 2, "changed"), (2, "left", 0, "moved"), (2, "left", 1, "moved"), (2, "right", 0, "moved"), (2, "right", 1, "moved"), (3, "left", 2, "changed")]
+    assert got == sorted([*want, (5, "right", 30, "changed"), (6, "left", 10, "changed"), (None, "left", 1, "changed"), (None, "right", 1, "changed")], key=str)
+    none = fingerprint.tree(empty(spark))
+    assert fingerprint.locate_edits(none, trees[1]).count() == 0
 
 
 def test_edits_leave_the_other_pieces_alike(spark):
@@ -77,7 +109,7 @@ def test_edits_leave_the_other_pieces_alike(spark):
     docs = documents(spark, [(1, "y " * 900, None, None), (2, words, None, None), (3, run, None, None), (4, "x" * 3000, None, None)])
     got = {r["id"]: r for r in fingerprint.edited_fingerprints(docs).collect()}
     for i in (2, 3, 4):
-        assert 0.5 < got[i]["tree_edited"] < 0.9 and got[i]["tree_next"] < 0.1
+        assert 0.5 < got[i]["near_edited"] < 0.9 and got[i]["near_next"] < 0.1
     inserted = documents(spark, [(1, words, None, None), (2, "one more " + words, None, None), (3, run, None, None), (4, "q" + run, None, None)])
     pieces = {r["id"]: (r["pieces"], set(r["pieces"])) for r in fingerprint.tree(inserted).collect()}
     assert all(len(p) == len(s) > 30 for p, s in pieces.values())
