@@ -1,15 +1,21 @@
-"""Bounded Arrow batches: long texts make batches of the default row count too large for a worker."""
+"""Slices of Arrow batches: long texts make a batch of the default row count too much for a worker.
+
+Spark bounds the bytes of a batch that it sends (``spark.sql.execution.arrow.maxBytesPerBatch``);
+what a task makes of it at once is bounded here. No setting of the session is changed.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
 
-ROWS = 1000
-_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS, BYTES = 1000, 4 << 20
 
 
-def bound(spark: SparkSession, rows: int = ROWS) -> None:
-    """Rows of an Arrow batch at most; a smaller setting of the session stays."""
-    now = int(spark.conf.get(_SETTING))
-    if now <= 0 or now > rows:
-        spark.conf.set(_SETTING, str(rows))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS, size: int = BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows in turn, at most ``rows`` and on average at most ``size`` bytes at once; a longer row is alone."""
+    for b in batches:
+        per = max(1, min(rows, b.num_rows * size // max(1, b.nbytes)))
+        for at in range(0, b.num_rows, per):
+            yield b.slice(at, per)

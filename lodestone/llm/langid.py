@@ -2,7 +2,8 @@
 
 Every language has a codeword of bits. One binary classifier over hashed byte n-grams
 predicts each bit; a text's language is that of the codeword with the least logistic
-loss, bits weighted by how well their classifier did on the sample.
+loss, bits weighted by how well their classifier does on sample rows that it was not
+fitted to. The sample is bounded: ``per_language`` rows a language, ``most`` in all.
 
 Defined results: a null text, and one without a letter, is ``und`` with score 0. If no
 row has a language to learn, every text is ``und``. With one language, every text with a
@@ -23,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm import batches
+from lodestone.llm.batches import slices
 
 BUCKETS = 1 << 14
+#: One sample row in so many is left out of the fit, to weigh the bits.
+APART = 5
 CHUNK = 1 << 20
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -90,28 +93,37 @@ def frequencies(text: str) -> np.ndarray:
 
 
 def fit(texts: list[str], langs: list[str], *, rounds: int = 250, rate: float = 1.0, penalty: float = 1e-5) -> Model | None:
-    """Logistic classifiers, one for each bit, by full-batch gradient steps over the sample."""
+    """Logistic classifiers, one for each bit, by full-batch gradient steps over the sample.
+
+    One row in ``APART`` is not fitted: it tells how far each bit can be trusted.
+    """
     if not texts:
         return None
     languages = sorted(set(langs))
     code = codewords(len(languages))
+    if not code.shape[1]:
+        return Model(languages, code, np.zeros((BUCKETS, 0)), np.zeros(0), np.zeros(0))
     x = np.empty((len(texts), BUCKETS), np.float32)
     for i, t in enumerate(texts):
         x[i] = np.sqrt(frequencies(t))
-    y = code[[languages.index(v) for v in langs]].astype(np.float32)
-    if not code.shape[1]:
-        return Model(languages, code, np.zeros((BUCKETS, 0)), np.zeros(0), np.zeros(0))
-    share = np.array([langs.count(v) for v in languages], float)
-    each = (1 / share)[[languages.index(v) for v in langs]].astype(np.float32)[:, None] / len(languages)
+    of = np.array([languages.index(v) for v in langs])
+    y = code[of].astype(np.float32)
+    nth = np.empty(len(of), np.int64)  # of its language
+    for k in range(len(languages)):
+        nth[of == k] = np.arange((of == k).sum())
+    apart = nth % APART == APART - 1
+    use = np.flatnonzero(~apart)
+    each = (1 / np.bincount(of[use], minlength=len(languages)))[of[use]].astype(np.float32)[:, None] / len(languages)
+    seen, want = x[use], y[use]
     w, b = np.zeros((BUCKETS, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     m, v = [np.zeros_like(w), np.zeros_like(b)], [np.zeros_like(w), np.zeros_like(b)]
     for t in range(1, rounds + 1):
-        g = -y / (1 + np.exp(np.clip(y * (x @ w + b), -30, 30))) * each
-        for p, grad, i in ((w, x.T @ g + penalty * w, 0), (b, g.sum(axis=0), 1)):
+        g = -want / (1 + np.exp(np.clip(want * (seen @ w + b), -30, 30))) * each
+        for p, grad, i in ((w, seen.T @ g + penalty * w, 0), (b, g.sum(axis=0), 1)):
             m[i] = 0.9 * m[i] + 0.1 * grad
             v[i] = 0.99 * v[i] + 0.01 * grad**2
             p -= rate * 0.1 * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.99**t)) + 1e-9)
-    right = ((x @ w + b) * y > 0).mean(axis=0)
+    right = ((x[apart] @ w + b) * y[apart] > 0).mean(axis=0) if apart.any() else np.ones(len(b))
     return Model(languages, code, w.astype(float), b.astype(float), np.maximum(right - 0.5, 0.01))
 
 
@@ -129,24 +141,29 @@ def decode(margins: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, n
     return best, top[:, -1], top[:, -1] - top[:, -2]
 
 
-def sample(docs: DataFrame, usable: Column, *, per_language: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """(text, language) of at most ``per_language`` rows of each language, by the hash of the id.
+def sample(docs: DataFrame, usable: Column, *, per_language: int, most: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
+    """(text, language) of at most ``per_language`` rows of each language and ``most`` in all, those of least hash.
 
-    Ids are ranked first (a bounded rank per language is pushed before the shuffle); only
-    the chosen texts reach the driver.
+    The rows of each language are counted; a hash bound by that count leaves about a quarter
+    more than are wanted, wherever they are, and only those are ranked. Repeated rows count once.
     """
-    ids = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("key")
-    )
-    chosen = ids.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key", "id"))).where(F.col("rank") <= per_language)
-    keys = chosen.select("id", "lang").distinct().collect()
-    if not keys:
+    rows = docs.where(usable).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = rows.where("lang is not null and text is not null").withColumn("h", F.xxhash64("id", "text"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each language, as the model has
+    if not counts:
         return []
-    small = docs.sparkSession.createDataFrame([(r["id"], r["lang"]) for r in keys], chosen.select("id", "lang").schema)
-    hits = docs.select(F.col(id_col).alias("d"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t")).where(F.col("t").isNotNull())
-    # at most per_language ids for each language
-    rows = hits.join(F.broadcast(small), F.col("d").eqNullSafe(F.col("id")) & (F.col("l") == F.col("lang"))).select("t", "l").limit(4 * len(keys)).collect()
-    return [(r["t"], r["l"]) for r in sorted(rows, key=lambda r: (r["l"], r["t"])) if has_letter(r["t"])]
+    per = max(1, min(per_language, most // len(counts)))
+    bounds = docs.sparkSession.createDataFrame([(r["lang"], min(1 << 32, -(-(per * 5 // 4 + 50) * (1 << 32) // r["n"]))) for r in counts], "l string, bound long")
+    near = rows.join(F.broadcast(bounds), F.col("lang") == F.col("l")).where(F.pmod("h", F.lit(1 << 32)) < F.col("bound")).dropDuplicates(["lang", "h"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 32)), "h"))
+    chosen = near.withColumn("place", place).where(F.col("place") <= per).select("lang", "place", "text").collect()
+    return [(r["text"], r["lang"]) for r in sorted(chosen, key=lambda r: (r["lang"], r["place"])) if has_letter(r["text"])]
+
+
+def learn(docs: DataFrame, *, per_language: int, most: int, id_col: str, text_col: str, lang_col: str) -> Model | None:
+    """The model of a bounded sample of the rows outside the held-out fold."""
+    rows = sample(docs, ~held_out(id_col), per_language=per_language, most=most, id_col=id_col, text_col=text_col, lang_col=lang_col)
+    return fit([t for t, _ in rows], [v for _, v in rows])
 
 
 def _classify(m: Model | None, texts: pa.Array, ambiguous_below: float) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -170,26 +187,26 @@ def predict(docs: DataFrame, model: Model | None, *, ambiguous_below: float = 0.
     """id, lang_pred, score, ambiguous for every row, from the text alone."""
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    batches.bound(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BUCKETS and the code
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             lang, score, unsure = _classify(shared.value, b.column(1), ambiguous_below)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(unsure)], ["id", "lang_pred", "score", "ambiguous"])
 
     return src.mapInArrow(run, f"id {kind}, lang_pred string, score double, ambiguous boolean")
 
 
-def keep_identified(docs: DataFrame, *, per_language: int = 500, ambiguous_below: float = 0.2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def keep_identified(
+    docs: DataFrame, *, per_language: int = 500, most: int = 4000, ambiguous_below: float = 0.2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+) -> DataFrame:
     """The rows, whole, whose text is in one of the learned languages without ambiguity."""
-    rows = sample(docs, ~held_out(id_col), per_language=per_language, id_col=id_col, text_col=text_col, lang_col=lang_col)
-    batches.bound(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(fit([t for t, _ in rows], [v for _, v in rows]))
+    model = learn(docs, per_language=per_language, most=most, id_col=id_col, text_col=text_col, lang_col=lang_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             lang, _, unsure = _classify(shared.value, b.column(at), ambiguous_below)
             yield b.take(pa.array(np.flatnonzero(~unsure & (np.array(lang, object) != UNKNOWN))))
 
@@ -201,9 +218,10 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def identify(docs: DataFrame, *, per_language: int = 500, ambiguous_below: float = 0.2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(
+    docs: DataFrame, *, per_language: int = 500, most: int = 4000, ambiguous_below: float = 0.2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+) -> DataFrame:
     """id, held_out, lang_pred, score, ambiguous. Learns from rows outside the held-out fold."""
-    rows = sample(docs, ~held_out(id_col), per_language=per_language, id_col=id_col, text_col=text_col, lang_col=lang_col)
-    model = fit([t for t, _ in rows], [v for _, v in rows])
+    model = learn(docs, per_language=per_language, most=most, id_col=id_col, text_col=text_col, lang_col=lang_col)
     out = predict(docs, model, ambiguous_below=ambiguous_below, id_col=id_col, text_col=text_col)
     return out.withColumn("held_out", held_out("id"))

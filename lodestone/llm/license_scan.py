@@ -13,6 +13,8 @@ Only the columns named are read.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.batches import slices
+
 #: The base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: Notices that the scan adds, with labels of their own.
@@ -107,19 +111,20 @@ def search(joined: bytes, notice: Notice) -> Iterator[tuple[int, int, int]]:
 def scan(text: str, base: tuple[tuple[str, str], ...], notices: list[Notice]) -> dict:
     ws = words(text)
     joined = b" " + b" ".join(ws) + b" "
+    ends = list(itertools.accumulate(len(w) + 1 for w in ws))  # where each word's blank stands
     starts, base_labels = [], set()
     for phrase, label in base:
         needle = b" " + phrase.encode() + b" "
         at = joined.find(needle)
         while at >= 0:
-            starts.append(joined.count(b" ", 0, at))
+            starts.append(bisect.bisect_left(ends, at + 1))
             base_labels.add(label)
             at = joined.find(needle, at + 1)
     hits, score = [], 1.0 if starts else 0.0
     for n in notices:
         for s, e, edits in search(joined, n):
-            first = joined.count(b" ", 0, s + 1) - 1 if joined[s : s + 1] != b" " else joined.count(b" ", 0, s)
-            hits.append({"label": n.label, "first_word": first, "last_word": joined.count(b" ", 0, max(e - 1, 1)) - 1, "edits": edits})
+            last = bisect.bisect_left(ends, max(e - 1, 1))
+            hits.append({"label": n.label, "first_word": bisect.bisect_left(ends, s + (joined[s : s + 1] == b" ")), "last_word": last, "edits": edits})
             score = max(score, 1 - edits / len(n.text))
     return {
         "n_words": len(ws), "n_base": len(starts), "first_word": min(starts, default=None), "last_word": max(starts, default=None),
@@ -141,11 +146,9 @@ def scan_licenses(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = [compile_notice(*n) for n in notices]
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                rows = pa.array([scan(t or "", base, compiled) for t in part.column(1).to_pylist()], _ROW)
-                yield pa.RecordBatch.from_arrays([part.column(0), *rows.flatten()], ["id", *(f.name for f in _ROW)])
+        for b in slices(batches, 500):
+            rows = pa.array([scan(t or "", base, compiled) for t in b.column(1).to_pylist()], _ROW)
+            yield pa.RecordBatch.from_arrays([b.column(0), *rows.flatten()], ["id", *(f.name for f in _ROW)])
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["id"].dataType.simpleString()

@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lodestone.session import cut, stored
+from lodestone.llm.batches import slices
+from lodestone.session import cut, stored, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -123,18 +124,19 @@ def mixed_documents(
     A row whose words the mix doesn't take goes. Rows of one id and size are interchangeable.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    n_, k_, of_, takens_, taken_, size_ = unused(docs, "n", "k", "of", "takens", "taken", "size")
     mix = mix_sources(docs, weights=weights, cap=cap, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col)
-    plan = mix.groupBy(F.col("id").alias("__id"), F.col("size").alias("__n")).agg(F.sort_array(F.collect_list("taken")).alias("__takens"))
-    rows = docs.withColumn("__size", size)
-    ranked = rows.withColumn("__k", F.row_number().over(Window.partitionBy(id_col, "__size").orderBy(text_col)))
-    joined = ranked.join(plan, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__n")))
-    taken = joined.withColumn("__taken", F.element_at("__takens", F.col("__k"))).where(F.col("__taken") > 0)
-    picked = taken.select(*[F.col(f"`{c}`") for c in docs.columns], "__size", "__taken")
+    plan = mix.groupBy(F.col("id").alias(of_), F.col("size").alias(n_)).agg(F.sort_array(F.collect_list("taken")).alias(takens_))
+    rows = docs.withColumn(size_, size)
+    ranked = rows.withColumn(k_, F.row_number().over(Window.partitionBy(id_col, size_).orderBy(text_col)))
+    joined = ranked.join(plan, F.col(id_col).eqNullSafe(F.col(of_)) & (F.col(size_) == F.col(n_)))
+    taken = joined.withColumn(taken_, F.element_at(takens_, F.col(k_))).where(F.col(taken_) > 0)
+    picked = taken.select(*[F.col(f"`{c}`") for c in docs.columns], size_, taken_)
     at = docs.columns.index(text_col)
     word = re.compile(WORD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             size, take = (np.asarray(b.column(i)) for i in (b.num_columns - 2, b.num_columns - 1))
             whole = b.select(range(b.num_columns - 2))
             yield whole.take(pa.array(np.repeat(np.arange(b.num_rows), take // size)))

@@ -40,17 +40,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm import batches
+from lodestone.llm.batches import slices
 from lodestone.llm.components import connected_components
-from lodestone.session import stored
+from lodestone.session import stored, unused
 
 SKETCH_BITS, BITMAP_BITS, PAGE = 24, 26, 1 << 18
 #: Tokens kept beyond the first d of the common order; two similar sets share so many of them.
 EXTRA = 8
-CHUNK = 1 << 20
+CHUNK, FAN = 1 << 20, 64
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
 
@@ -135,7 +136,7 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def frequency_classes(docs: DataFrame, width: int) -> tuple[np.ndarray, int]:
     """Class of every sketch cell, by ascending count, and the first class of frequent tokens. 16 MB at any size.
 
-    Each partition sums into one sketch and sends it in pages; pages are summed in two steps.
+    Each partition sums into one sketch and sends it in pages; pages are summed in a tree of fan-in ``FAN``.
     Classes are quantiles of the cells' counts, and above the usual load steps of a logarithm,
     so that a token that is more frequent than others stands out from its cell's noise.
     """
@@ -150,7 +151,7 @@ def frequency_classes(docs: DataFrame, width: int) -> tuple[np.ndarray, int]:
                 total[cell] += n.astype(np.uint32)
                 held.clear()
 
-        for b in batches:
+        for b in slices(batches):
             for _, s in shingle_sets(b.column(1), width):
                 held.append((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
                 if len(held) >= 2000:
@@ -158,18 +159,22 @@ def frequency_classes(docs: DataFrame, width: int) -> tuple[np.ndarray, int]:
         flush()
         if total.any():
             pages = [zstandard.compress(total[i : i + PAGE].tobytes(), 1) for i in range(0, cells, PAGE)]
-            salt = int(total[:64].sum()) % 16
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(pages)), pa.int32()), pa.array([salt] * len(pages), pa.int32()), pa.array(pages, pa.binary())], ["page", "salt", "sums"])
+            part = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(pages)), pa.int32()), pa.array([part] * len(pages), pa.int32()), pa.array(pages, pa.binary())], ["page", "part", "sums"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(zstandard.decompress(x), np.uint32).astype(np.uint64) for x in pdf["sums"])
         sums = np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()
-        return pd.DataFrame({"page": pdf["page"].iloc[:1], "salt": pdf["salt"].iloc[:1], "sums": [zstandard.compress(sums, 1)]})
-
-    schema = "page int, salt int, sums binary"
-    parts = _source(docs, "id", "text").mapInArrow(count, schema).groupBy("page", "salt").applyInPandas(add, schema)
+        return pd.DataFrame({"page": pdf["page"].iloc[:1], "part": pdf["part"].iloc[:1], "sums": [zstandard.compress(sums, 1)]})
+
+    schema = "page int, part int, sums binary"
+    src = _source(docs, "id", "text")
+    parts, n = src.mapInArrow(count, schema), src.rdd.getNumPartitions()
+    while n > 1:  # at most FAN sums of a page at once, whatever the number of partitions
+        n = -(-n // FAN)
+        parts = parts.withColumn("part", F.pmod("part", F.lit(n))).groupBy("page", "part").applyInPandas(add, schema)
     counts = np.zeros(cells, np.uint32)
-    for r in parts.groupBy("page").applyInPandas(add, schema).collect():
+    for r in parts.collect():
         counts[r["page"] * PAGE : (r["page"] + 1) * PAGE] = np.frombuffer(zstandard.decompress(bytes(r["sums"])), np.uint32)
     usual = max(16.0, 3.0 * counts.mean())
     some = counts[:: max(1, cells >> 18)]
@@ -191,7 +196,7 @@ def _prefixes(docs: DataFrame, classes: np.ndarray, frequent: int, width: int, n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for b in batches:
+        for b in slices(batches):
             n, digest, prefix, rare = [], [], [], []
             for _, s in shingle_sets(b.column(1), width):
                 k = len(s)
@@ -243,16 +248,15 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for b in batches:
+        for b in slices(batches):
             where = b.column(2).to_numpy(zero_copy_only=False)
             hit = np.flatnonzero(table[where >> 3] >> (where & 7).astype(np.uint8) & 1)
-            for at in range(0, len(hit), 500):
-                part = b.take(pa.array(hit[at : at + 500]))
-                digest, tokens = [], []
-                for _, s in shingle_sets(part.column(1), width):
-                    digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    tokens.append(s.view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))], ["id", "digest", "tokens"])
+            part = b.take(pa.array(hit))
+            digest, tokens = [], []
+            for _, s in shingle_sets(part.column(1), width):
+                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                tokens.append(s.view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))], ["id", "digest", "tokens"])
 
     kind = docs.schema["id"].dataType.simpleString()
     flagged = docs.where(F.col("id").isNotNull()).select("id", "text", bit.alias("bit")).mapInArrow(run, f"id {kind}, digest binary, tokens array<long>")
@@ -290,10 +294,14 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 
 def jaccard_components(
-    docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, combine_up_to: int = 1000, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, combine_up_to: int = 1000, block: int = 2000, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """id, n_shingles, component_id for every row. Sets link where den * intersection >= num * union."""
-    batches.bound(docs.sparkSession)
+    """id, n_shingles, component_id for every row. Sets link where den * intersection >= num * union, which must be over 1/2.
+
+    ``block``: members of an entry that a task compares with as many others at most.
+    """
+    if 2 * num <= den:
+        raise ValueError("a similarity over 1/2 is needed: the index takes two common tokens for granted")
     src = _source(docs, id_col, text_col)
     base = stored(_prefixes(src, *frequency_classes(src, width), width, num, den), "prefixes")
     able = base.where(F.col("id").isNotNull() & (F.col("n") > 0))
@@ -319,10 +327,15 @@ def jaccard_components(
     # the rest: members of one entry that are still in different components
     label = parts.select(F.col("node").alias("p"), F.col("component").alias("c"))
     named = entries.join(label, F.col("node") == F.col("p"), "left").select("sig", "node", "n", "pos", F.coalesce("c", "node").alias("c"))
-    mixed = named.groupBy(F.col("sig").alias("s")).agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi and k > 2").select("s")
-    rest = stored(named.join(mixed, F.col("sig") == F.col("s")).select("sig", "node", "n", "pos", "c"), "rest")
-    other = rest.select(F.col("sig").alias("s2"), F.col("node").alias("to"), F.col("n").alias("to_n"), F.col("pos").alias("to_pos"), F.col("c").alias("c2"))
-    crossed = rest.join(other, (F.col("sig") == F.col("s2")) & (F.col("node") < F.col("to")) & (F.col("c") != F.col("c2")) & _can(num, den))
+    mixed = named.groupBy(F.col("sig").alias("s")).agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi and k > 2").select("s", "k")
+    rest = stored(named.join(mixed, F.col("sig") == F.col("s")).select("sig", "node", "n", "pos", "c", F.ceil(F.col("k") / block).cast("int").alias("blocks")), "rest")
+    # an entry of many sets is dealt over blocks; every two blocks, and each with itself, meet in a task of their own
+    home = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    left = rest.withColumn("i", home).withColumn("j", F.explode(F.sequence("i", F.col("blocks") - 1)))
+    right = rest.withColumn("j2", home).withColumn("i2", F.explode(F.sequence(F.lit(0), "j2")))
+    other = right.select(F.col("sig").alias("s2"), "i2", "j2", F.col("node").alias("to"), F.col("n").alias("to_n"), F.col("pos").alias("to_pos"), F.col("c").alias("c2"))
+    met = (F.col("sig") == F.col("s2")) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2"))
+    crossed = left.join(other, met & ((F.col("i") < F.col("j")) | (F.col("node") < F.col("to"))) & (F.col("c") != F.col("c2")) & _can(num, den))
     more = stored(_pairs(crossed).join(tried, ["a", "b"], "left_anti"), "more")
     final = connected_components(links.unionAll(linked(more))) if not more.isEmpty() else parts
 
@@ -341,7 +354,8 @@ def keep_one_of_each(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
     document; rows of one id and different texts stay or go together.
     """
     joined = jaccard_components(docs, width=width, num=num, den=den, id_col=id_col, text_col=text_col)
-    stay = joined.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("__id")).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(stay, F.col(id_col) == F.col("__id"), "left_semi")
-    once = named.withColumn("__text", F.md5(F.col(text_col).cast("string"))).dropDuplicates([id_col, "__text"])
+    stays, digest = unused(docs, "stays", "digest")
+    stay = joined.where(F.col("id") == F.col("component_id")).select(F.col("id").alias(stays)).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).join(stay, F.col(id_col) == F.col(stays), "left_semi")
+    once = named.withColumn(digest, F.md5(F.col(text_col).cast("string"))).dropDuplicates([id_col, digest])
     return once.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(F.col(id_col).isNull()))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lodestone.llm import batches
+from lodestone.llm.batches import slices
 from lodestone.session import cut, stored
 
 CACHE = 300_000
@@ -99,11 +99,9 @@ def tokenize(docs: DataFrame, tokenizer: str, *, end_id: int = 1, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(tokenizer)
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                ids = [(enc.encode(t) if t else b"") + end for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
+        for b in slices(batches, 500):
+            ids = [(enc.encode(t) if t else b"") + end for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["id"].dataType.simpleString()
@@ -115,7 +113,7 @@ def _pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(tokenizer)
-        for b in batches:
+        for b in slices(batches):
             texts, row, start, length, crc, total = b.column(1), [], [], [], [], []
             for i in range(b.num_rows):
                 t = texts[i].as_py()
@@ -203,7 +201,6 @@ def pack_documents(
 
     ``padded_to`` is the window, or the sequence's own length where that is a power of two.
     """
-    batches.bound(docs.sparkSession)
     pieces = stored(_pieces(docs, tokenizer, window, end_id, id_col, text_col), "pieces")
     order = ["length", "id", "start", "ids_crc32", "doc_tokens"]
     ordered = cut(pieces.repartitionByRange(*order).sortWithinPartitions(*order))

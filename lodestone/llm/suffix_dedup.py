@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm import batches
+from lodestone.llm.batches import slices
 from lodestone.llm.ngram_join import _CODES, _powers, mix
 from lodestone.session import stored
 
@@ -84,7 +84,7 @@ def _counts(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        for b in batches:
+        for b in slices(batches):
             for data in _raw(b.column(0).cast(pa.large_binary())):
                 held += [h for h, *_ in anchors(data, length)]
                 if len(held) >= 5000:
@@ -121,7 +121,7 @@ def _occurrences(docs: DataFrame, bitmap: np.ndarray, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        for b in batches:
+        for b in slices(batches):
             seen: set[bytes] = set()
             rows: tuple[list, ...] = ([], [], [], [], [], [], [])
             for i, data in enumerate(_raw(b.column(1).cast(pa.large_binary()))):
@@ -347,7 +347,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, keep: str = "first", g
     """id, kept (binary: the bytes that stay), spans (array of start, end in bytes of the removed runs), n_bytes."""
     if keep not in ("first", "none"):
         raise ValueError("keep is first or none")
-    batches.bound(docs.sparkSession)
+
     src = _texts(docs, id_col, text_col)
     marks = repeated_windows(src, length, keep, group)
     per_text = marks.groupBy(F.col("id").alias("m_id"), F.col("tkey").alias("m_key")).agg(F.collect_list(F.struct("lo", "n", "mask", "extra")).alias("marks"))
@@ -356,7 +356,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, keep: str = "first", g
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             for at in range(0, b.num_rows, 200):
                 part = b.slice(at, 200)
                 kept, spans, sizes = [], [], []

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm import batches
+from lodestone.llm.batches import slices
 from lodestone.session import shared_dir, stored
 
 #: Fixed values of the seekable Zstandard format.
@@ -154,8 +154,8 @@ def write_bundles(pages: DataFrame, folder: str, *, least_bytes: int = 0, id_col
         final = f"part-{context.partitionId():05d}.warc.zst"
         draft = f"{root}/.{final}.{context.taskAttemptId()}"
         writer = sink = None
-        for b in batches:
-            if b.num_rows and sink is None:
+        for b in slices(batches):
+            if sink is None:
                 sink = where.open_output_stream(draft)
                 writer = BundleWriter(sink)
             frames, offsets, lengths = [], [], []
@@ -173,7 +173,6 @@ def write_bundles(pages: DataFrame, folder: str, *, least_bytes: int = 0, id_col
             sink.close()
             where.move(draft, f"{root}/{final}")
 
-    batches.bound(pages.sparkSession)
     rows = decide(pages, least_bytes=least_bytes, id_col=id_col, url_col=url_col, html_col=html_col)
     # sorting makes a repeated task write the same file
     dealt = rows.select(F.col("id").cast("string").alias("id"), "url", "payload", F.col("refers_to").cast("string").alias("refers_to"))
