@@ -70,7 +70,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 _CODES = mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
 
 
-@functools.lru_cache(maxsize=1)
+@functools.lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up = np.cumprod(np.full(n, _BASE, np.uint64))
     return up, np.cumprod(np.full(n, pow(_BASE, -1, 1 << 64), np.uint64))

@@ -1,15 +1,19 @@
-r"""Suffix dedup by ranks of suffixes cut to ``length`` bytes.
+r"""Suffix dedup by longest-previous-factor arrays over content-dealt suffixes.
 
 A byte string of ``length`` bytes that starts at two places, in one document or in two, is
 a repeat. To find all of them without one suffix array over the corpus, the suffixes are
 dealt out by content: in each window of ``length`` bytes the ``GRAM``-gram of least hash
 (the leftmost of equals) is the window's anchor, and equal windows have equal anchors at
-equal places. Anchors are counted over all documents; only those that occur twice send
-their context. Equal contexts are one class. Within an anchor, the classes' contexts are
-laid end to end in the order of their first occurrence and suffix-sorted up to ``length``
-bytes; of the suffixes that agree so far, all but the first have an earlier match, and if
-there are two or more, all have a match. That is whether a longest previous factor reaches
-``length``; the factors' lengths are not computed.
+equal places. The windows that share an anchor are a run; runs with equal bytes (by a
+128-bit hash) are a class. All runs are counted first, without their bytes: a class of
+several runs repeats whole, and an anchor of one run and no more has no repeat. Only of
+anchors with several classes is one run of each class fetched from its text.
+
+Those runs are laid end to end, in the order of their first occurrence, in blocks. Their
+suffixes are sorted up to ``length`` bytes, with the common prefixes of neighbours; the
+previous and next smaller positions in that order give each suffix's longest previous
+factor. A factor of ``length`` is a later copy. Read from the other end the same arrays
+give the longest next factor, and a suffix with either has a copy.
 
 An anchor with more classes than ``group`` is dealt out over several blocks; windows that
 are first in their block are then compared across blocks by a 128-bit hash.
@@ -18,10 +22,16 @@ are first in their block are then compared across blocks by a 128-bit hash.
 position); ``keep="none"`` removes every copy. What is removed is each byte that a removed
 window covers.
 
+Passages of over 50 words can be shorter than ``length``. Runs of ``passage`` words or more
+(between blanks, A-Z in lower case) that another document has too are found alike, with
+words for bytes and 64-bit hashes of the windows in place of their suffixes; they are
+counted, not removed.
+
 Defined results: a null text is an empty one. Texts under ``length`` bytes lose nothing.
 Matches never cross documents. Repeated rows are copies of each other; with
-``keep="first"`` rows of equal id and text share their fate. An empty table gives no rows.
-Texts are read whole, long ones in overlapping segments; only the columns named are read.
+``keep="first"`` rows of equal id and text share their fate, and are one document to
+passages. An empty table gives no rows. Texts are read whole, long ones in overlapping
+segments; only the columns named are read.
 """
 
 from __future__ import annotations
@@ -35,12 +45,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.batches import slices
-from lodestone.llm.ngram_join import _CODES, _powers, mix
+from lodestone.llm.ngram_join import _CODES, _STEP, CHUNK, _powers, mix, word_hashes
 from lodestone.session import stored
 
-GRAM, SEGMENT, BITMAP_BITS = 32, 1 << 19, 26
+GRAM, WORD_GRAM, SEGMENT = 32, 8, 1 << 19
 BLOCK_BYTES, GROUP, BUCKET_WINDOWS = 1 << 20, 1500, 400_000
+#: Keys with more rows than this, and than one in ``MOST_HOT`` of all rows, meet their one partner by broadcast.
+HOT, MOST_HOT = 10_000, 50_000
 _AT = np.uint64((1 << 24) - 1)
+_WORDS = np.uint64(0xA24BAED4963EE407)
 
 
 def _sliding_least(x: np.ndarray, w: int) -> np.ndarray:
@@ -53,25 +66,36 @@ def _sliding_least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(tail[: n - w + 1], head[w - 1 : n])
 
 
-def anchors(data: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(hash, position, first window, last window) of the runs of windows that share an anchor."""
-    gram = min(GRAM, length)
-    w = length - gram + 1
-    up, down = _powers(SEGMENT * 2 + 2 * length)
-    for at in range(0, len(data) - length + 1, SEGMENT):
-        part = data[at : at + SEGMENT + length - 1]
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_CODES[part] * up[: len(part)], out=sums[1:])
-        h = mix((sums[gram:] - sums[:-gram]) * down[: len(part) - gram + 1])
-        least = _sliding_least((h & ~_AT) | np.arange(len(h), dtype=np.uint64), w)
+def _rolled(codes: np.ndarray, gram: int) -> np.ndarray:
+    """Hashes of the runs of ``gram`` codes."""
+    up, down = _powers(max(CHUNK, 1 << len(codes).bit_length()))
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * up[: len(codes)], out=sums[1:])
+    return mix((sums[gram:] - sums[:-gram]) * down[: len(codes) - gram + 1])
+
+
+def anchors(codes: np.ndarray, length: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(hash, position, first window, windows) of the runs of windows that share an anchor."""
+    gram = min(gram, length)
+    for at in range(0, len(codes) - length + 1, SEGMENT):
+        h = _rolled(codes[at : at + SEGMENT + length - 1], gram)
+        least = _sliding_least((h & ~_AT) | np.arange(len(h), dtype=np.uint64), length - gram + 1)
         p = (least & _AT).astype(np.int64)
         lo = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-        hi = np.concatenate([lo[1:], [len(p)]]) - 1
-        yield h[p[lo]], p[lo] + at, lo + at, hi + at
+        yield h[p[lo]], p[lo] + at, lo + at, np.diff(np.append(lo, len(p)))
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def _chains(data: np.ndarray, h: np.ndarray, p: np.ndarray, lo: np.ndarray, n: np.ndarray, length: int) -> Iterator[tuple[int, int]]:
+    """(first run, runs) of the stretches of runs with equal windows: where a text repeats at once, they are one row."""
+    like = (h[1:] == h[:-1]) & (n[1:] == n[:-1]) & ((p - lo)[1:] == (p - lo)[:-1])
+    begin = np.flatnonzero(np.concatenate([[True], ~like]))
+    for s, e in zip(begin.tolist(), np.append(begin[1:], len(h)).tolist(), strict=True):
+        a, step, end = lo[s], n[s], lo[e - 1] + n[e - 1] + length - 1
+        if e - s > 1 and (data[a : end - step] == data[a + step : end]).all():
+            yield s, e - s
+        else:
+            for k in range(s, e):
+                yield k, 1
 
 
 def _raw(column: pa.Array) -> Iterator[np.ndarray]:
@@ -79,144 +103,160 @@ def _raw(column: pa.Array) -> Iterator[np.ndarray]:
         yield np.frombuffer(x.as_buffer() or b"", np.uint8)
 
 
-def _counts(docs: DataFrame, length: int) -> DataFrame:
-    """(anchor, c) of the anchors that occur more than once."""
+def _words_of(data: np.ndarray) -> np.ndarray:
+    return word_hashes(data, np.array([0, len(data)]))[0]
+
+
+def _numbered(docs: DataFrame, keep: str, id_col: str, text_col: str) -> DataFrame:
+    """doc, id, text, copies; with ``keep="first"`` in the order by which copies are first."""
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    if keep == "first":
+        rows = rows.groupBy("id", F.md5("text").alias("key")).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")).orderBy(F.col("id").asc_nulls_first(), "key").drop("key")
+    else:
+        rows = rows.withColumn("copies", F.lit(1).cast("long"))
+    return stored(rows.withColumn("doc", F.monotonically_increasing_id()), "numbered")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for b in slices(batches):
-            for data in _raw(b.column(0).cast(pa.large_binary())):
-                held += [h for h, *_ in anchors(data, length)]
-                if len(held) >= 5000:
-                    yield from out(held)
-        yield from out(held)
-
-    def out(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        if held:
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["anchor", "c"])
-
-    rows = docs.select("text").mapInArrow(run, "anchor long, c long")
-    return rows.groupBy("anchor").agg(F.sum("c").alias("c")).where("c > 1")
-
-
-def _bitmap(values: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of fixed size (8 MB) in which the values' bits are set."""
-    bit = F.pmod(F.col(column), F.lit(1 << BITMAP_BITS))
-    pages = (
-        values.select(bit.alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit + 1)").alias("page"))
-        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit + 1))").alias("bits")).collect()
-    )
-    out = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
-    for r in pages:  # of 32768 bits; the first is page 1
-        out[(r["page"] - 1) * 4096 : r["page"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out
 
+_RUN = "doc long, words boolean, lo long, n long, times long, anchor long, k1 long, k2 long"
 
-def _occurrences(docs: DataFrame, bitmap: np.ndarray, length: int) -> DataFrame:
-    """Rows of repeated anchors: id, tkey, lo, hi (window starts), anchor, ckey (class), ctx (once in a batch)."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-    kind = docs.schema["id"].dataType.simpleString()
+
+def _runs(table: DataFrame, length: int, passage: int) -> DataFrame:
+    """All runs of windows, of bytes and of words: where they are, their anchor and the 128-bit hash of their bytes or words."""
+    names = [f.split()[0] for f in _RUN.split(", ")]
+    kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 6]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         for b in slices(batches):
-            seen: set[bytes] = set()
-            rows: tuple[list, ...] = ([], [], [], [], [], [], [])
-            for i, data in enumerate(_raw(b.column(1).cast(pa.large_binary()))):
-                tkey = None
-                for h, p, lo, hi in anchors(data, length):
-                    where = h & np.uint64((1 << BITMAP_BITS) - 1)
-                    for j in np.flatnonzero(bits[where >> np.uint64(3)] >> (where & np.uint64(7)).astype(np.uint8) & 1):
-                        tkey = tkey or hashlib.md5(data).hexdigest()
-                        ctx = data[lo[j] : hi[j] + length].tobytes()
-                        ckey = hashlib.blake2b(ctx, digest_size=16, key=int(p[j] - lo[j]).to_bytes(8, "little")).digest()
-                        for r, v in zip(rows, (i, tkey, lo[j], hi[j], h[j].view(np.int64), ckey, None if ckey in seen else ctx), strict=True):
-                            r.append(v)
-                        seen.add(ckey)
-                if len(rows[0]) >= 5000 or i == b.num_rows - 1:
-                    cols = [b.column(0).take(pa.array(rows[0], pa.int32())), pa.array(rows[1], pa.string()), *(pa.array(x, pa.int64()) for x in rows[2:5]), *(pa.array(x, pa.binary()) for x in rows[5:])]
-                    yield pa.RecordBatch.from_arrays(cols, ["id", "tkey", "lo", "hi", "anchor", "ckey", "ctx"])
-                    rows = ([], [], [], [], [], [], [])
-
-    return docs.mapInArrow(run, f"id {kind}, tkey string, lo long, hi long, anchor long, ckey binary, ctx binary")
-
-
-def suffix_classes(text: np.ndarray, length: int) -> np.ndarray:
-    """Dense ranks of the suffixes of a byte text cut to ``length`` bytes, by doubling; the text's end sorts first."""
+            held: list[tuple] = []
+            docs, digests = b.column(0).to_pylist(), []
+            for doc, data in zip(docs, _raw(b.column(1).cast(pa.large_binary())), strict=True):
+                for words, raw, codes, size, gram in ((False, data, None, length, GRAM), (True, None, None, passage, WORD_GRAM)):
+                    raw = _words_of(data) if words else raw
+                    if len(raw) < size:
+                        continue
+                    codes = raw if words else _CODES[raw]
+                    for h, p, lo, n in anchors(codes, size, gram):
+                        for k, times in _chains(raw, h, p, lo, n, size):
+                            at, many = int(lo[k]), int(n[k])
+                            digests.append(hashlib.blake2b(raw[at : at + many + size - 1].tobytes(), digest_size=16, key=int(p[k] - at).to_bytes(4, "little")).digest())
+                            held.append((doc, words, at, many, times, int(h[k] ^ _WORDS if words else h[k])))
+                if len(held) >= 50_000:
+                    yield out(held, digests)
+                    held, digests = [], []
+            if held:
+                yield out(held, digests)
+
+    def out(held: list[tuple], digests: list[bytes]) -> pa.RecordBatch:
+        doc, words, lo, n, times, anchor = zip(*held, strict=True)
+        k1, k2 = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2).T
+        columns = [doc, words, lo, n, times, np.array(anchor, np.uint64).view(np.int64), k1.copy(), k2.copy()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return table.select("doc", "text").mapInArrow(run, _RUN)
+
+
+def _met(rows: DataFrame, single: DataFrame, on: dict[str, str], count: str) -> DataFrame:
+    """``rows`` joined with the one row of ``single`` (stored) for its key; ``count`` says for how many.
+
+    Keys of very many rows are broadcast, so that their rows stay where they are: at most
+    ``MOST_HOT`` keys, as each has more than that share of the rows.
+    """
+    total = single.agg(F.sum(count).alias("n")).first()["n"] or 0
+    bound = max(HOT, total // MOST_HOT)
+    same = [F.col(a) == F.col(b) for a, b in on.items()]
+    hot = single.where(F.col(count) > bound)
+    if hot.isEmpty():
+        return rows.join(single, same)
+    cold = rows.join(F.broadcast(hot.select(*on.values())), same, "left_anti").join(single.where(F.col(count) <= bound), same)
+    return rows.join(F.broadcast(hot), same).unionByName(cold)
+
+
+# suffix order and factors of a block
+
+
+def suffix_ranks(text: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """(step, dense ranks of the suffixes cut to ``step`` bytes) for doubling steps up to ``length``; the text's end sorts first."""
     n = len(text)
     padded = np.zeros(n + 8, np.uint64)
     padded[:n] = text.astype(np.uint64) + np.uint64(1)
-    step = 1
-    rank = padded[:n]
+    levels = [(1, padded[:n].astype(np.int64))]
     if length >= 4:
-        step = 4
-        rank = (((padded[:n] << np.uint64(27)) | (padded[1 : n + 1] << np.uint64(18))) | (padded[2 : n + 2] << np.uint64(9))) | padded[3 : n + 3]
-    rank = np.unique(rank, return_inverse=True)[1]
-    while step < length:
+        packed = (((padded[:n] << np.uint64(27)) | (padded[1 : n + 1] << np.uint64(18))) | (padded[2 : n + 2] << np.uint64(9))) | padded[3 : n + 3]
+        levels.append((4, np.unique(packed, return_inverse=True)[1]))
+    while levels[-1][0] < length:
+        step, rank = levels[-1]
         by = min(step, length - step)
         second = np.zeros(n, np.uint64)
-        second[: n - by] = rank[by:].astype(np.uint64) + np.uint64(1)
-        rank = np.unique((rank.astype(np.uint64) << np.uint64(32)) | second, return_inverse=True)[1]
-        step += by
-    return rank
+        second[: max(0, n - by)] = rank[by:].astype(np.uint64) + np.uint64(1)
+        levels.append((step + by, np.unique((rank.astype(np.uint64) << np.uint64(32)) | second, return_inverse=True)[1]))
+    return levels
+
+
+def _common(levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of the suffixes at a and at b, cut to the last level's step."""
+    length, rank = levels[-1]
+    same = rank[a] == rank[b]
+    out = np.where(same, length, 0)
+    rest = np.flatnonzero(~same)
+    x, y, got = a[rest], b[rest], np.zeros(len(rest), np.int64)
+    for step, ranks in levels[-2::-1]:
+        for _ in range(3 if step == 1 else 1):
+            inside = (np.maximum(x, y) + got < len(ranks)) & (got + step <= length)
+            at = np.minimum(got, len(ranks) - 1 - np.maximum(x, y))
+            got = np.where(inside & (ranks[x + at] == ranks[y + at]), got + step, got)
+    out[rest] = got
+    return out
 
 
-def longest_previous_factors(text: bytes) -> list[int]:
-    """For each position, the length of the longest factor that also starts earlier. On no query's path; for tests.
+def _nearest_smaller(order: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each place of a suffix order, the common prefix with the nearest place before it that has a smaller position; 0 without one.
 
-    From the suffix order with its common prefixes, taking positions from last to first:
-    the nearest smaller positions before and after one in the order hold its longest
-    earlier matches, and removing it leaves the smaller of the two for its neighbours.
+    ``common[k]`` is that of the places k - 1 and k. All places between k and its pointer
+    have larger positions, so where the pointer's position is larger too, the pointer moves
+    on to that place's own pointer: all places at once, until none moves.
     """
-    n = len(text)
-    order = sorted(range(n), key=lambda i: text[i:])
-    common = [0] * (n + 1)
-    for k in range(1, n):
-        a, b = order[k - 1], order[k]
-        m = 0
-        while max(a, b) + m < n and text[a + m] == text[b + m]:
-            m += 1
-        common[k] = m
-    at = {p: k for k, p in enumerate(order)}
-    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-    out = [0] * n
-    for p in range(n - 1, -1, -1):
-        k = at[p]
-        left, right = common[k], common[after[k]] if after[k] < n else 0
-        out[p] = max(left, right)
-        if after[k] < n:
-            common[after[k]] = min(left, right)
-            before[after[k]] = before[k]
-        if before[k] >= 0:
-            after[before[k]] = after[k]
-    return out
+    n = len(order)
+    to, least = np.arange(-1, n - 1), common.copy()
+    moving = np.arange(1, n)
+    while len(moving):
+        moving = moving[to[moving] >= 0]
+        moving = moving[order[to[moving]] > order[moving]]
+        by = to[moving]
+        least[moving] = np.minimum(least[moving], least[by])
+        to[moving] = to[by]
+    return np.where(to >= 0, least, 0)
+
+
+def longest_previous_factors(levels: list[tuple[int, np.ndarray]], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the ascending ``starts``, the longest common prefix with an earlier and with a later one, cut to the last level's step."""
+    order = np.argsort(levels[-1][1][starts], kind="stable")  # ties by position
+    common = np.zeros(len(starts), np.int64)
+    common[1:] = _common(levels, starts[order[:-1]], starts[order[1:]])
+    back = np.append(common[1:], 0)[::-1]  # the same order read from its end
+    before, behind = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+    before[order] = np.maximum(_nearest_smaller(order, common), _nearest_smaller(order[::-1], back)[::-1])
+    behind[order] = np.maximum(_nearest_smaller(-order, common), _nearest_smaller(-order[::-1], back)[::-1])
+    return before, behind
+
+
+def block_factors(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the windows of the contexts, in turn: whether it has a copy, whether an earlier one, and where it starts in the block."""
+    sizes = np.array([len(c) for c in contexts])
+    levels = suffix_ranks(np.frombuffer(b"".join(contexts), np.uint8), length)
+    windows = sizes - length + 1
+    own = np.repeat(np.arange(len(contexts)), windows)
+    starts = np.concatenate([[0], np.cumsum(sizes)])[own] + np.arange(len(own)) - np.concatenate([[0], np.cumsum(windows)])[own]
+    before, behind = longest_previous_factors(levels, starts)
+    return (before >= length) | (behind >= length), before >= length, starts
 
 
-def block_factors(contexts: list[bytes], groups: list[int], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Flags of the windows of the contexts, in turn: has a match; has an earlier one; and the window's text.
+def _packed(flags: np.ndarray) -> bytes:
+    return np.packbits(flags).tobytes() if flags.any() else b""
 
-    Only suffixes of one group match. Of those that agree on ``length`` bytes, all but the
-    one of smallest position have an earlier match.
-    """
-    sizes = np.array([len(c) for c in contexts])
-    rank = suffix_classes(np.frombuffer(b"".join(contexts), np.uint8), length)
-    begins = np.concatenate([[0], np.cumsum(sizes)])
-    own = np.repeat(np.arange(len(contexts)), sizes - length + 1)
-    starts = begins[own] + np.arange(len(own)) - np.concatenate([[0], np.cumsum(sizes - length + 1)])[own]
-    group = np.asarray(groups, np.int64)[own]
-    order = np.lexsort((starts, rank[starts], group))
-    new = np.concatenate([[True], (rank[starts][order][1:] != rank[starts][order][:-1]) | (group[order][1:] != group[order][:-1])])
-    count = np.diff(np.concatenate([np.flatnonzero(new), [len(order)]]))
-    matched, earlier = np.zeros(len(own), bool), np.zeros(len(own), bool)
-    matched[order] = np.repeat(count > 1, count)
-    earlier[order] = ~new
-    return matched, earlier, starts
-
-
-_LISTS = "ckeys array<binary>, anchors array<long>, f_ids array<string>, f_tkeys array<string>, f_los array<long>"
-_MASKS = f"anchor long, ckey binary, matched binary, earlier binary, bucket int, windows binary, {_LISTS}"
+
+_KEYS = "anchor long, k1 long, k2 long"
+_LISTS = "anchors array<long>, k1s array<long>, k2s array<long>, docs array<long>, los array<long>"
+_MASKS = f"{_KEYS}, matched binary, earlier binary, bucket int, windows binary, {_LISTS}"
 #: One window that is first in its block: a 128-bit hash, its class in the row's lists, its place, whether it is alone.
 _WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("cls", "<i4"), ("w", "<i4"), ("alone", "?")])
 
@@ -225,20 +265,15 @@ def _factor_blocks(rows: DataFrame, length: int, buckets: int) -> DataFrame:
     """A mask of each class's windows; for anchors over several blocks also the windows that are first in their block, packed by hash bucket."""
 
     def run(table: pa.Table) -> pa.Table:
-        seen, picked = set(), []
-        for i, k in enumerate(table.column("ckey").to_pylist()):
-            if k not in seen:
-                seen.add(k)
-                picked.append(i)
-        t = table.take(pa.array(picked)).sort_by([("anchor", "ascending"), ("f_null", "ascending"), ("f_id", "ascending"), ("f_tkey", "ascending"), ("f_lo", "ascending")])
+        t = table.sort_by([("doc", "ascending"), ("lo", "ascending")])
         ctx, split = t.column("ctx").to_pylist(), t.column("split").to_pylist()
-        matched, earlier, starts = block_factors(ctx, t.column("anchor").to_pylist(), length)
+        matched, earlier, starts = block_factors(ctx, length)
         whole, at, masks, packed = b"".join(ctx), 0, ([], []), []
         for i, c in enumerate(ctx):
             n = len(c) - length + 1
             m, e = matched[at : at + n], earlier[at : at + n]
-            masks[0].append(np.packbits(m).tobytes())
-            masks[1].append(np.packbits(e).tobytes())
+            masks[0].append(_packed(m))
+            masks[1].append(_packed(e))
             if split[i]:
                 first = np.flatnonzero(~e)
                 w = np.zeros(len(first), _WINDOW)
@@ -247,32 +282,30 @@ def _factor_blocks(rows: DataFrame, length: int, buckets: int) -> DataFrame:
                 w["cls"], w["w"], w["alone"] = i, first, ~m[first]
                 packed.append(w)
             at += n
-        n = len(ctx)
-        nothing = [None] * n
-        out = {"anchor": t.column("anchor").to_pylist(), "ckey": t.column("ckey").to_pylist(), "matched": masks[0], "earlier": masks[1], "bucket": nothing[:], "windows": nothing[:]}
-        lists = {"ckeys": ("ckey", nothing[:]), "anchors": ("anchor", nothing[:]), "f_ids": ("f_id", nothing[:]), "f_tkeys": ("f_tkey", nothing[:]), "f_los": ("f_lo", nothing[:])}
+        keys = {k: t.column(k).to_pylist() for k in ("anchor", "k1", "k2", "doc", "lo")}
+        nothing = [None] * len(ctx)
+        out = {k: list(keys[k]) for k in ("anchor", "k1", "k2")} | {"matched": masks[0], "earlier": masks[1], "bucket": nothing[:], "windows": nothing[:]}
+        lists = {"anchors": nothing[:], "k1s": nothing[:], "k2s": nothing[:], "docs": nothing[:], "los": nothing[:]}
         if packed:
             windows = np.concatenate(packed)
             of = (windows["a"] % np.uint64(buckets)).astype(int)
             for k in np.unique(of):
                 part = windows[of == k]
                 used, part["cls"] = np.unique(part["cls"], return_inverse=True)
-                for name in ("anchor", "ckey", "matched", "earlier"):
+                for name in ("anchor", "k1", "k2", "matched", "earlier"):
                     out[name].append(None)
                 out["bucket"].append(int(k))
                 out["windows"].append(part.tobytes())
-                for _, (source, values) in lists.items():
-                    column = t.column(source).take(pa.array(used)).to_pylist()
-                    values.append([None if v is None else str(v) for v in column] if source == "f_id" else column)
-        kinds = {"anchor": pa.int64(), "ckey": pa.binary(), "matched": pa.binary(), "earlier": pa.binary(), "bucket": pa.int32(), "windows": pa.binary()}
-        more = {"ckeys": pa.list_(pa.binary()), "anchors": pa.list_(pa.int64()), "f_ids": pa.list_(pa.string()), "f_tkeys": pa.list_(pa.string()), "f_los": pa.list_(pa.int64())}
-        return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()} | {k: pa.array(v, more[k]) for k, (_, v) in lists.items()})
+                for name, source in zip(lists, keys, strict=True):
+                    lists[name].append([keys[source][i] for i in used])
+        kinds = {"matched": pa.binary(), "earlier": pa.binary(), "bucket": pa.int32(), "windows": pa.binary()}
+        return pa.table({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()} | {k: pa.array(v, pa.list_(pa.int64())) for k, v in lists.items()})
 
     return rows.groupBy("block", "salt").applyInArrow(run, _MASKS)
 
 
-def _across_blocks(packed: DataFrame, numeric: bool) -> DataFrame:
-    """(anchor, ckey, also, also_late): windows of a class that other blocks have too, and those of them that have them earlier."""
+def _across_blocks(packed: DataFrame) -> DataFrame:
+    """(anchor, k1, k2, also, also_late): windows of a class that other blocks have too, and those of them that have them earlier."""
 
     def run(table: pa.Table) -> pa.Table:
         parts, classes = [], []
@@ -280,108 +313,190 @@ def _across_blocks(packed: DataFrame, numeric: bool) -> DataFrame:
             w = np.frombuffer(r["windows"], _WINDOW).copy()
             w["cls"] += len(classes)
             parts.append(w)
-            for x in zip(r["anchors"], r["ckeys"], r["f_ids"], r["f_tkeys"], r["f_los"], strict=True):
-                known = x[2] is not None
-                classes.append((*x[:2], (known, (int(x[2]) if numeric else x[2]) if known else 0, x[3]), x[4]))
+            classes += zip(r["anchors"], r["k1s"], r["k2s"], r["docs"], r["los"], strict=True)
         w = np.concatenate(parts)
-        order = np.lexsort((w["b"], w["a"]))
+        keys = np.array(classes, np.int64)
+        order = np.lexsort((keys[w["cls"], 4] + w["w"], keys[w["cls"], 3], w["b"], w["a"]))
         w = w[order]
-        new = np.flatnonzero(np.concatenate([[True], (w["a"][1:] != w["a"][:-1]) | (w["b"][1:] != w["b"][:-1])]))
+        new = np.concatenate([[True], (w["a"][1:] != w["a"][:-1]) | (w["b"][1:] != w["b"][:-1])])
+        many = np.repeat(np.diff(np.append(np.flatnonzero(new), len(w))) > 1, np.diff(np.append(np.flatnonzero(new), len(w))))
         also: dict[int, tuple[list[int], list[int]]] = {}
-        for s, e in zip(new, np.append(new[1:], len(w)), strict=True):
-            if e - s > 1:
-                places = [(*classes[c][2], classes[c][3] + int(k)) for c, k in zip(w["cls"][s:e], w["w"][s:e], strict=True)]
-                best = min(places)
-                for c, k, p in zip(w["cls"][s:e], w["w"][s:e], places, strict=True):
-                    here = also.setdefault(int(c), ([], []))
-                    here[0].append(int(k))
-                    if p != best:
-                        here[1].append(int(k))
-        return pa.table({
-            "anchor": pa.array([classes[c][0] for c in also], pa.int64()), "ckey": pa.array([classes[c][1] for c in also], pa.binary()),
-            "also": pa.array([x[0] for x in also.values()], pa.list_(pa.int64())), "also_late": pa.array([x[1] for x in also.values()], pa.list_(pa.int64())),
-        })
-
-    found = packed.groupBy("bucket").applyInArrow(run, "anchor long, ckey binary, also array<long>, also_late array<long>")
-    return found.groupBy(F.col("anchor").alias("xa"), F.col("ckey").alias("xc")).agg(F.flatten(F.collect_list("also")).alias("also"), F.flatten(F.collect_list("also_late")).alias("also_late"))
-
-
-def repeated_windows(docs: DataFrame, length: int, keep: str, group: int = GROUP) -> DataFrame:
-    """(id, tkey, lo, mask, n): for runs of n windows from lo, which to remove (null mask: all). docs: id, text."""
-    repeats = stored(_counts(docs, length), "anchors")
-    occ = stored(_occurrences(docs, _bitmap(repeats, "anchor"), length), "occurrences")
-    first = F.min(F.struct("id", "tkey", "lo")).alias("first")
-    classes = stored(occ.groupBy("anchor", "ckey").agg(F.count(F.lit(1)).alias("c"), first), "anchor-classes")
-    many = classes.groupBy(F.col("anchor").alias("m")).agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    total = occ.agg(F.sum(F.octet_length("ctx")).alias("n")).first()["n"] or 0
-    blocks = max(1, int(total // BLOCK_BYTES))
+        for i in np.flatnonzero(many):
+            here = also.setdefault(int(w["cls"][i]), ([], []))
+            here[0].append(int(w["w"][i]))
+            if not new[i]:
+                here[1].append(int(w["w"][i]))
+        columns = {k: pa.array([classes[c][j] for c in also], pa.int64()) for j, k in enumerate(("anchor", "k1", "k2"))}
+        lists = {k: pa.array([x[j] for x in also.values()], pa.list_(pa.int64())) for j, k in enumerate(("also", "also_late"))}
+        return pa.table(columns | lists)
+
+    found = packed.groupBy("bucket").applyInArrow(run, f"{_KEYS}, also array<long>, also_late array<long>")
+    return found.groupBy(F.col("anchor").alias("xa"), F.col("k1").alias("x1"), F.col("k2").alias("x2")).agg(F.flatten(F.collect_list("also")).alias("also"), F.flatten(F.collect_list("also_late")).alias("also_late"))
+
+
+# windows of words
+
+
+def _word_blocks(rows: DataFrame) -> DataFrame:
+    """(anchor, k1, k2, mask) of the classes of word runs whose windows other documents have too. rows: doc, last: the class's first and last document."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ctx = [np.frombuffer(c, np.int64) for c in table.column("ctx").to_pylist()]
+        sizes = np.array([len(c) for c in ctx])
+        _, of = np.unique(np.concatenate(ctx), return_inverse=True)
+        low, high = (np.repeat(table.column(c).to_numpy(), sizes) for c in ("doc", "last"))
+        least, most = np.full(of.max() + 1, np.iinfo(np.int64).max), np.full(of.max() + 1, -1)
+        np.minimum.at(least, of, low)
+        np.maximum.at(most, of, high)
+        shared = (least != most)[of]
+        masks = [_packed(m) for m in np.split(shared, np.cumsum(sizes)[:-1])]
+        return pa.table({**{k: table.column(k) for k in ("anchor", "k1", "k2")}, "mask": pa.array(masks, pa.binary())})
+
+    return rows.groupBy("block").applyInArrow(run, f"{_KEYS}, mask binary")
+
+
+def _crowded_words(rows: DataFrame) -> DataFrame:
+    """(xa, x1, x2, also): the same for anchors of very many classes, window by window."""
+    each = stored(rows.select("anchor", "k1", "k2", "doc", "last", F.posexplode("hashes").alias("j", "w")), "word-windows")
+    shared = each.groupBy(F.col("w").alias("sw")).agg(F.min("doc").alias("a"), F.max("last").alias("b"), F.count(F.lit(1)).alias("many")).where("a <> b").select("sw", "many")
+    back = _met(each, stored(shared, "shared-windows"), {"w": "sw"}, "many")
+    return back.groupBy(F.col("anchor").alias("xa"), F.col("k1").alias("x1"), F.col("k2").alias("x2")).agg(F.collect_list(F.col("j").cast("long")).alias("also"))
+
+
+def _fetched(table: DataFrame, wanted: DataFrame, length: int, passage: int) -> DataFrame:
+    """The rows of ``wanted`` with ctx: a run's bytes, or the hashes of its windows of words. wanted: doc, lo, n, words and others."""
+    fields = [f for f in wanted.schema.fields if f.name != "doc"]
+    per = wanted.groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct(*[f.name for f in fields])).alias("want"))
+    joined = table.select("doc", "text").join(per, F.col("doc") == F.col("of")).select("doc", "text", "want")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            want, ctx = b.column(2), []
+            flat = want.flatten()
+            owner = np.repeat(np.arange(b.num_rows), np.diff(want.offsets.to_numpy()))
+            los, ns, kinds = (flat.field(k).to_pylist() for k in ("lo", "n", "words"))
+            data, windows, now = None, None, -1
+            raws = list(_raw(b.column(1).cast(pa.large_binary())))
+            for i, lo, n, words in zip(owner.tolist(), los, ns, kinds, strict=True):
+                if i != now:
+                    now, data, windows = i, raws[i], None
+                if words and windows is None:
+                    windows = _rolled(_words_of(data) * _STEP, passage)
+                ctx.append((windows[lo : lo + n] if words else data[lo : lo + n + length - 1]).tobytes())
+            columns = [b.column(0).take(pa.array(owner)), *flat.flatten(), pa.array(ctx, pa.large_binary()).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", *[f.name for f in fields], "ctx"])
+
+    return joined.mapInArrow(run, ", ".join(["doc long", *[f"{f.name} {f.dataType.simpleString()}" for f in fields], "ctx binary"]))
+
+
+def repeated_windows(table: DataFrame, length: int, keep: str, group: int = GROUP, passage: int = 51) -> DataFrame:
+    """(doc, words, lo, n, times, mask, extra, whole): for runs of n windows from lo, ``times`` of them, which have copies."""
+    runs = stored(_runs(table, length, passage), "runs")
+    if keep == "first":
+        at = F.min(F.struct("doc", "lo"))
+        rep = [at["doc"].alias("doc"), at["lo"].alias("lo")]
+    else:  # any run of the class does
+        rep = [F.min("doc").alias("doc"), F.min_by("lo", "doc").alias("lo")]
+    classes = stored(
+        runs.groupBy("words", "anchor", "k1", "k2").agg(F.sum("times").alias("c"), F.count(F.lit(1)).alias("rows"), F.min("n").alias("n"), F.max("doc").alias("last"), *rep), "run-classes"
+    )
+    by_anchor = classes.groupBy(F.col("anchor").alias("m")).agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("total")).where("total > 1")
+    live = stored(_met(classes, stored(by_anchor, "anchors"), {"anchor": "m"}, "k").drop("m", "total"), "live-classes")
+
+    sizes = live.where("k > 1").groupBy("words").agg(F.sum(F.when(F.col("words"), 8 * F.col("n")).otherwise(F.col("n") + length - 1)).alias("bytes"), F.sum(F.when(F.col("k") > group, F.col("n"))).alias("crowded"))
+    total = {r["words"]: (r["bytes"], r["crowded"] or 0) for r in sizes.collect()}
+    blocks = {w: max(1, total.get(w, (0, 0))[0] // BLOCK_BYTES) for w in (False, True)}
     shares = F.ceil(F.col("k") / F.lit(group)).cast("long")
-    named = classes.join(many, F.col("anchor") == F.col("m")).select(F.col("anchor").alias("m"), F.col("ckey").alias("mk"), "first", shares.alias("shares"))
-    rows = occ.where("ctx is not null").join(named, (F.col("anchor") == F.col("m")) & (F.col("ckey") == F.col("mk"))).select(
-        F.pmod("anchor", F.lit(blocks)).alias("block"),
-        F.when(F.col("shares") > 1, F.concat_ws(":", "anchor", F.pmod(F.xxhash64("ckey"), "shares"))).otherwise("").alias("salt"),
-        "anchor", "ckey", "ctx", F.col("first.id").isNotNull().alias("f_null"), F.col("first.id").alias("f_id"), F.col("first.tkey").alias("f_tkey"), F.col("first.lo").alias("f_lo"),
-        (F.col("shares") > 1).alias("split"),
+    wanted = live.where("k > 1").select(
+        "doc", "lo", "n", "words", "anchor", "k1", "k2", "last", F.when(F.col("words"), F.pmod("anchor", F.lit(blocks[True]))).otherwise(F.pmod("anchor", F.lit(blocks[False]))).alias("block"),
+        F.when(shares > 1, F.concat_ws(":", "anchor", F.pmod(F.xxhash64("k1"), shares))).otherwise("").alias("salt"), (shares > 1).alias("split"),
     )
-    hot = named.where("shares > 1").count()
-    found = stored(_factor_blocks(rows, length, 1 + hot * length // BUCKET_WINDOWS), "factors")
-    masks = found.where("bucket is null").select("anchor", "ckey", "matched", "earlier")
-    # windows of anchors over several blocks: the first of each block against those of the others
-    numeric = docs.schema["id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
-    more = _across_blocks(found.where("bucket is not null").select("bucket", "windows", "ckeys", "anchors", "f_ids", "f_tkeys", "f_los"), numeric)
+    fetched = stored(_fetched(table, wanted, length, passage), "contexts")
+
+    found = stored(_factor_blocks(fetched.where("not words"), length, 1 + total.get(False, (0, 0))[1] // BUCKET_WINDOWS), "factors")
     side, extra = ("matched", "also") if keep == "none" else ("earlier", "also_late")
-    masks = masks.join(more, (F.col("anchor") == F.col("xa")) & (F.col("ckey") == F.col("xc")), "left").select("anchor", "ckey", F.col(side).alias("mask"), F.col(extra).alias("extra"))
-    decided = classes.join(masks.withColumnsRenamed({"anchor": "ka", "ckey": "kc"}), (F.col("anchor") == F.col("ka")) & (F.col("ckey") == F.col("kc")), "left").where("c > 1 or mask is not null")
-    decided = decided.select(F.col("anchor").alias("ka"), F.col("ckey").alias("kc"), "c", "first", "mask", "extra")
-    joined = occ.drop("ctx").join(decided, (F.col("anchor") == F.col("ka")) & (F.col("ckey") == F.col("kc")))
-    copy = F.col("c") > 1
-    whole = copy if keep == "none" else copy & ~F.struct("id", "tkey", "lo").eqNullSafe(F.col("first"))
+    keys = (F.col("anchor") == F.col("xa")) & (F.col("k1") == F.col("x1")) & (F.col("k2") == F.col("x2"))
+    more = _across_blocks(found.where("bucket is not null").select("bucket", "windows", *[f.split()[0] for f in _LISTS.split(", ")]))
+    of_bytes = found.where("bucket is null").join(more, keys, "left").select(F.lit(False).alias("kind"), F.col("anchor").alias("ma"), F.col("k1").alias("m1"), F.col("k2").alias("m2"), F.col(side).alias("mask"), F.col(extra).alias("extra"))
+    words = fetched.where("words")
+    plain = _word_blocks(words.where("not split")).select(F.lit(True).alias("kind"), "anchor", "k1", "k2", "mask", F.lit(None).cast("array<long>").alias("extra"))
+    hashes = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.substring("ctx", (8 * j + 1).cast("int"), 8))
+    crowded = _crowded_words(words.where("split").withColumn("hashes", hashes)).select(F.lit(True), "xa", "x1", "x2", F.lit(b""), "also")
+    masks = of_bytes.unionAll(plain).unionAll(crowded)
+
+    decided = live.join(masks, (F.col("words") == F.col("kind")) & (F.col("anchor") == F.col("ma")) & (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")), "left")
+    whole = F.when(F.col("words"), F.col("doc") != F.col("last")).otherwise(F.col("c") > 1)
+    kept = F.col("extra").isNotNull() | (F.length("mask") > 0)
+    decided = decided.withColumn("whole", whole).where(F.col("whole") | F.coalesce(kept, F.lit(False))).select(
+        F.col("words").alias("dw"), F.col("anchor").alias("da"), F.col("k1").alias("d1"), F.col("k2").alias("d2"), F.col("doc").alias("first_doc"), F.col("lo").alias("first_lo"), "rows", "mask", "extra", "whole"
+    )
+    joined = _met(runs, stored(decided, "decided"), {"words": "dw", "anchor": "da", "k1": "d1", "k2": "d2"}, "rows")
+    first = ~F.col("words") & (F.col("doc") == F.col("first_doc")) & (F.col("lo") == F.col("first_lo")) if keep == "first" else F.lit(False)
+    # of a first occurrence that repeats at once, the windows behind the first run are later copies
+    ahead = joined.where(first & (F.col("times") > 1)).select("doc", "words", (F.col("lo") + F.col("n")).alias("lo"), "n", (F.col("times") - 1).alias("times"), F.lit(None).cast("binary").alias("mask"), F.lit(None).cast("array<long>").alias("extra"), F.lit(True).alias("whole"))
     out = joined.select(
-        "id", "tkey", "lo", (F.col("hi") - F.col("lo") + 1).alias("n"),
-        F.when(~whole, F.coalesce("mask", F.lit(b""))).alias("mask"), F.when(~whole, F.col("extra")).alias("extra"),
+        "doc", "words", "lo", "n", F.when(first, F.lit(1)).otherwise(F.col("times")).alias("times"), "mask", "extra", (F.col("whole") & ~first).alias("whole")
     )
-    return out.where("mask is null or length(mask) > 0")
-
-
-def remove_repeats(docs: DataFrame, *, length: int = 400, keep: str = "first", group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, kept (binary: the bytes that stay), spans (array of start, end in bytes of the removed runs), n_bytes."""
+    out = out.unionAll(ahead) if keep == "first" else out
+    return out.select("doc", "words", "lo", "n", "times", F.when(~F.col("whole"), F.col("mask")).alias("mask"), F.when(~F.col("whole"), F.col("extra")).alias("extra"), "whole")
+
+
+def _covered(size: int, marks: list[dict], length: int) -> np.ndarray:
+    """Which of ``size`` units the marked windows of ``length`` units cover."""
+    steps = np.zeros(size + 1, np.int64)
+    for m in marks:
+        if m["whole"]:
+            steps[m["lo"]] += 1
+            steps[m["lo"] + m["n"] * m["times"] + length - 1] -= 1
+            continue
+        bits = np.unpackbits(np.frombuffer(m["mask"] or bytes(-(-m["n"] // 8)), np.uint8), count=m["n"]).astype(bool)
+        bits[m["extra"] or []] = True
+        w = m["lo"] + np.flatnonzero(bits)
+        w = (w[None, :] + m["n"] * np.arange(m["times"])[:, None]).ravel()
+        steps[w] += 1
+        steps[w + length] -= 1
+    return np.cumsum(steps)[:-1] > 0
+
+
+def remove_repeats(
+    docs: DataFrame, *, length: int = 400, keep: str = "first", group: int = GROUP, passage: int = 51, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """id, kept (binary: the bytes that stay), spans (array of start, end in bytes of the removed runs), n_bytes, passage_words.
+
+    ``passage_words``: words of the text in runs of ``passage`` words or more that another document has too.
+    """
     if keep not in ("first", "none"):
         raise ValueError("keep is first or none")
-
-    src = _texts(docs, id_col, text_col)
-    marks = repeated_windows(src, length, keep, group)
-    per_text = marks.groupBy(F.col("id").alias("m_id"), F.col("tkey").alias("m_key")).agg(F.collect_list(F.struct("lo", "n", "mask", "extra")).alias("marks"))
-    joined = src.withColumn("tkey", F.md5("text")).join(per_text, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("tkey") == F.col("m_key")), "left").select("id", "text", "marks")
-    kind = src.schema["id"].dataType.simpleString()
+    table = _numbered(docs, keep, id_col, text_col)
+    marks = repeated_windows(table, length, keep, group, passage)
+    fields = ["words", "lo", "n", "times", "mask", "extra", "whole"]
+    per_text = marks.groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct(*fields)).alias("marks"))
+    joined = table.join(per_text, F.col("doc") == F.col("of"), "left").select("id", "text", "copies", "marks")
+    kind = table.schema["id"].dataType.simpleString()
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            for at in range(0, b.num_rows, 200):
-                part = b.slice(at, 200)
-                kept, spans, sizes = [], [], []
-                for data, marks in zip(_raw(part.column(1).cast(pa.large_binary())), part.column(2), strict=True):
-                    steps = np.zeros(len(data) + 1, np.int64)
-                    for m in marks.as_py() or ():
-                        bits = np.ones(m["n"], bool) if m["mask"] is None else np.unpackbits(np.frombuffer(m["mask"], np.uint8), count=m["n"]).astype(bool)
-                        if m["extra"]:
-                            bits[m["extra"]] = True
-                        w = m["lo"] + np.flatnonzero(bits)
-                        steps[w] += 1
-                        steps[w + length] -= 1
-                    gone = np.cumsum(steps)[:-1] > 0
-                    edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
-                    spans.append([{"start": int(s), "end": int(e)} for s, e in edge.reshape(-1, 2)])
-                    kept.append(data[~gone].tobytes())
-                    sizes.append(len(data))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(span)), pa.array(sizes, pa.int64())], ["id", "kept", "spans", "n_bytes"])
-
-    return joined.mapInArrow(run, f"id {kind}, kept binary, spans array<struct<start:bigint,end:bigint>>, n_bytes long")
+        for b in slices(batches, 200):
+            kept, spans, sizes, shared = [], [], [], []
+            for data, marks in zip(_raw(b.column(1).cast(pa.large_binary())), b.column(3), strict=True):
+                marks = marks.as_py() or []
+                words = [m for m in marks if m["words"]]
+                gone = _covered(len(data), [m for m in marks if not m["words"]], length)
+                edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
+                spans.append([{"start": int(s), "end": int(e)} for s, e in edge.reshape(-1, 2)])
+                kept.append(data[~gone].tobytes())
+                sizes.append(len(data))
+                shared.append(int(_covered(max(m["lo"] + m["n"] * m["times"] for m in words) + passage - 1, words, passage).sum()) if words else 0)
+            columns = [pa.array(kept, pa.binary()), pa.array(spans, pa.list_(span)), pa.array(sizes, pa.int64()), pa.array(shared, pa.int64())]
+            copies = pa.array(np.repeat(np.arange(b.num_rows), b.column(2).to_numpy()))
+            yield pa.RecordBatch.from_arrays([c.take(copies) for c in (b.column(0), *columns)], ["id", "kept", "spans", "n_bytes", "passage_words"])
+
+    return joined.mapInArrow(run, f"id {kind}, kept binary, spans array<struct<start:bigint,end:bigint>>, n_bytes long, passage_words long")
 
 
 def digest_columns(removed: DataFrame) -> list[Column]:
-    """The columns n_bytes, n_removed, n_spans and kept_sha256 of what remove_repeats returns."""
+    """The columns n_bytes, n_removed, n_spans and kept_sha256 of what remove_repeats returns, and its passage_words."""
     return [
         F.col("n_bytes"), (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
-        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.col("passage_words"),
     ]

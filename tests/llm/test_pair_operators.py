@@ -221,12 +221,42 @@ def _repeats(rows, length, keep):
     return Counter(out)
 
 
+def _passages(rows, least):
+    """Words of each row in runs that another document has; rows of one id and text are copies in other documents."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in rows]
+    where = defaultdict(set)
+    for k, w in enumerate(words):
+        for i in range(len(w) - least + 1):
+            where[tuple(w[i : i + least])].add(k)
+    out = []
+    for (i, _), w in zip(rows, words, strict=True):
+        covered = {j for s in range(len(w) - least + 1) if len(where[tuple(w[s : s + least])]) > 1 for j in range(s, s + least)}
+        out.append((i, len(covered)))
+    return Counter(out)
+
+
 @pytest.mark.parametrize(("length", "keep", "group"), [(60, "none", 1500), (60, "first", 1500), (60, "none", 2), (60, "first", 2), (20, "none", 1500)])
 def test_remove_repeats(spark, length, keep, group):
     docs = documents(spark)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    got = suffix_dedup.remove_repeats(docs, length=length, keep=keep, group=group).collect()
+    got = suffix_dedup.remove_repeats(docs, length=length, keep=keep, group=group, passage=12).collect()
     assert Counter((r["id"], bytes(r["kept"]), tuple((s["start"], s["end"]) for s in r["spans"])) for r in got) == _repeats(rows, length, keep)
+    if keep == "none":
+        assert Counter((r["id"], r["passage_words"]) for r in got) == _passages(rows, 12)
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_repeats_of_hot_classes_and_periodic_texts(spark, monkeypatch, keep):
+    monkeypatch.setattr(suffix_dedup, "HOT", 3)
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 300)
+    rng = random.Random(3)
+    base = [sentence(rng, 60) for _ in range(4)]
+    texts = ["x" * 900, "ab" * 400 + base[0], base[0] + "x" * 500, "abc " * 300, *base * 5, *[base[1] + sentence(rng, 3) + base[2] for _ in range(6)], sentence(rng, 400)]
+    docs = documents(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    got = suffix_dedup.remove_repeats(docs, length=60, keep=keep, group=3, passage=12).collect()
+    rows = list(enumerate(texts))
+    assert Counter((r["id"], bytes(r["kept"]), tuple((s["start"], s["end"]) for s in r["spans"])) for r in got) == _repeats(rows, 60, keep)
+    assert Counter((r["id"], r["passage_words"]) for r in got) == _passages(rows, 12)
 
 
 def test_repeats_edges(spark):
@@ -237,14 +267,18 @@ def test_repeats_edges(spark):
 
 def test_previous_factors():
     rng = random.Random(1)
-    for _ in range(60):
-        t = bytes(rng.choice(b"ab") for _ in range(rng.randrange(25)))
-        want = [max((next((k for k in range(len(t) - i + 1) if i + k == len(t) or t[i + k] != t[j + k]), 0) for j in range(i)), default=0) for i in range(len(t))]
-        assert suffix_dedup.longest_previous_factors(t) == want
+    for _ in range(100):
+        t = bytes(rng.choice(b"ab") for _ in range(rng.randrange(5, 40)))
+        length = rng.choice([1, 2, 3, 5, 9, 16, 30])
+        common = lambda i, j: next((k for k in range(len(t) - max(i, j)) if t[i + k] != t[j + k]), len(t) - max(i, j))  # noqa: B023, E731
+        starts = np.arange(len(t))
+        before, behind = suffix_dedup.longest_previous_factors(suffix_dedup.suffix_ranks(np.frombuffer(t, np.uint8), length), starts)
+        assert before.tolist() == [min(length, max((common(i, j) for j in range(i)), default=0)) for i in starts]
+        assert behind.tolist() == [min(length, max((common(i, j) for j in range(i + 1, len(t))), default=0)) for i in starts]
         if len(t) >= 5:
-            matched, earlier, _ = suffix_dedup.block_factors([t], [1], 5)
+            matched, earlier, _ = suffix_dedup.block_factors([t], 5)
             n = len(t) - 4
-            assert earlier.tolist() == [f >= 5 for f in want[:n]]
+            assert earlier.tolist() == [any(t[i : i + 5] == t[j : j + 5] for j in range(i)) for i in range(n)]
             assert matched.tolist() == [sum(t[i : i + 5] == t[j : j + 5] for j in range(n)) > 1 for i in range(n)]
 
 
