@@ -152,6 +152,43 @@ def test_blocks_count_every_pair_once():
     assert len(forest) <= len(x) - 1
 
 
+def test_traversal_is_in_order():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        a, b = (np.sort(rng.random(rng.integers(1, 9))) for _ in range(2))
+        margin = float(rng.random())
+        got = list(multi_index.traverse(a.tolist(), b.tolist(), margin))
+        sums = [a[i] + b[j] for i, j in got]
+        assert sums == sorted(sums)
+        assert set(got) == {(i, j) for i in range(len(a)) for j in range(len(b)) if a[i] + b[j] <= a[0] + b[0] + margin}
+
+
+@pytest.mark.parametrize("kind", ["isotropic", "half", "subspace"])
+def test_recall_of_pairs_at_the_threshold(spark, kind):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(3000, 64)) if kind != "subspace" else rng.normal(size=(3000, 8)) @ rng.normal(size=(8, 64))
+    x = multi_index.units(base)
+    away = rng.normal(size=x.shape) if kind != "subspace" else multi_index.units(base[rng.permutation(3000)])
+    away[:, 32:] *= kind != "half"
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    away /= np.sqrt((away**2).sum(axis=1, keepdims=True))
+    every = np.concatenate([x, 0.932 * x + np.sqrt(1 - 0.932**2) * away])
+    want = np.zeros(len(every), np.int64)
+    for at in range(0, len(every), 1000):
+        want[at : at + 1000] = (every[at : at + 1000] @ every.T >= 0.93).sum(axis=1) - 1
+    assert want.sum() >= 2 * 1000
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(every)], "vec_id long, embedding array<double>, label int").repartition(4)
+    got = {r["id"]: r["n_links"] for r in multi_index.near_duplicates(frame).collect()}
+    assert all(got[i] <= n for i, n in enumerate(want.tolist()))
+    assert sum(got.values()) >= 0.9 * want.sum()
+
+
+def test_one_id_with_two_vectors(spark):
+    rows = [(1, [1.0, 0.0, 0.0, 0.1], 0), (1, [0.0, 1.0, 0.2, 0.0], 0), (2, [1.0, 0.0, 0.0, 0.12], 0), (3, [0.0, 1.0, 0.22, 0.0], 0), (4, [0.0, 0.0, 1.0, -1.0], 0)]
+    got = sorted((r["id"], r["n_links"]) for r in multi_index.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 0)]
+
+
 def test_no_vectors(spark):
     assert multi_index.near_duplicates(_vectors(spark)[1].limit(0)).count() == 0
 
