@@ -6,10 +6,11 @@ elsewhere. A section's digest covers those of its paragraphs, the root those of
 sections: equal texts have equal roots. The fingerprint is the root and the sections'
 digests.
 
-The leaves are the pieces of the paragraphs: a line is cut after words whose hash says so,
-in runs without blanks after characters whose hash with the three before says so, but into
-pieces of ``LEAST`` to ``PIECE`` characters (a line's last may have fewer). A paragraph's
-digest, over the line that its pieces make up, covers them.
+The leaves are the pieces of the paragraphs: a line is cut where its own characters say so
+(``CUT``: behind the blank after a word that ends in a marked character, behind marks of
+wide scripts, and in runs without blanks behind a pattern of marked and other characters),
+into pieces of ``LEAST`` to ``PIECE`` characters (a line's last may have fewer). A
+paragraph's digest, over the line that its pieces make up, covers them.
 
 near_edited and near_next are the likeness of two trees: 1 where the roots are equal, else
 the Dice of their leaves, each as often as it occurs and by its characters. Equal sections
@@ -37,8 +38,12 @@ from lodestone.session import cut
 
 #: Hex digits of an inner node: 128 bits.
 DIGEST = 32
-#: A piece may end after one word in PER_WORD, and one character in PER_CHAR of a run of over RUN without blanks.
-PER_WORD, PER_CHAR, RUN, LEAST, PIECE = 2, 16, 24, 8, 96
+LEAST, PIECE = 8, 96
+#: Of the visible ASCII characters every second is marked, and so is all beyond ASCII.
+_MARKED = "".join(f"\\x{c:02X}" for c in range(34, 127, 2))
+_OTHER = "".join(f"\\x{c:02X}" for c in range(33, 127, 2))
+CUT = rf"(?:(?<=[{_MARKED}\u0080-\uFFFF]\s)|(?<=[\u3001\u3002\uFF01\uFF0C\uFF1A\uFF1B\uFF1F])|(?<=\S{{20}}[{_MARKED}][{_OTHER}][{_MARKED}][{_MARKED}]))"
+PIECES = rf"[^\n]{{{LEAST},{PIECE}}}?{CUT}|[^\n]{{{PIECE}}}|[^\n]+"
 
 
 def _short(text: Column) -> Column:
@@ -71,22 +76,6 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _cut(line: Column) -> Column:
-    """The pieces of a line, which has no line end in it."""
-
-    def marked(units: Column) -> Column:
-        def ends(u: Column, i: Column) -> Column:
-            char = F.pmod(F.xxhash64(F.get(units, i - 3), F.get(units, i - 2), F.get(units, i - 1), u), F.lit(PER_CHAR)) == 0
-            return F.when(F.char_length(u) == 1, char).otherwise(F.pmod(F.xxhash64(u), F.lit(PER_WORD)) == 0)
-
-        return F.array_join(F.transform(units, lambda u, i: F.when(ends(u, i), F.concat(u, F.lit("\n"))).otherwise(u)), "")
-
-    words = r"(?<=\s)(?=\S)"
-    units = F.when(line.rlike(rf"\S{{{RUN + 1}}}"), F.split(line, rf"{words}|(?<=\S{{{RUN}}})(?=\S)")).otherwise(F.split(line, words))
-    runs = F.regexp_extract_all(_let(units, marked), F.lit(rf"[^\n](?:\n?[^\n]){{0,{LEAST - 1}}}[^\n]{{0,{PIECE - LEAST}}}"), F.lit(0))
-    return F.transform(runs, lambda r: F.translate(r, "\n", ""))
-
-
 def _length(piece: Column) -> Column:
     return piece.bitwiseAND(F.lit(127))
 
@@ -94,14 +83,15 @@ def _length(piece: Column) -> Column:
 def pieces(text: Column) -> Column:
     """Hashes of the pieces of all paragraphs, the n-th of equal ones with its n: all are distinct. The last 7 bits are a piece's length."""
     sized = lambda h, length: h.bitwiseAND(F.lit(-128)).bitwiseOR(length)
-    hashes = F.flatten(F.transform(F.split(text, "\n"), lambda line: F.transform(_cut(line), lambda p: sized(F.xxhash64(p), F.char_length(p).cast("long")))))
+    hashes = F.transform(F.regexp_extract_all(text, F.lit(PIECES), F.lit(0)), lambda p: sized(F.xxhash64(p), F.char_length(p).cast("long")))
 
     def numbered(s: Column) -> Column:
         firsts = F.filter(F.transform(s, lambda h, i: F.when((i == 0) | (h != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
         times = lambda at, i, j: F.sequence(F.lit(1), F.coalesce(F.get(at, j + 1), F.size(s)) - i)
-        return _let(firsts, lambda at: F.flatten(F.transform(at, lambda i, j: F.transform(times(at, i, j), lambda n: sized(F.xxhash64(F.get(s, i), n), _length(F.get(s, i)))))))
+        return _let(firsts, lambda at: F.flatten(F.transform(at, lambda i, j: F.transform(times(at, i, j), lambda n: F.when(n == 1, F.get(s, i)).otherwise(sized(F.xxhash64(F.get(s, i), n), _length(F.get(s, i))))))))
 
-    return _let(F.sort_array(hashes), numbered)
+    once = lambda hs: F.when(F.size(F.array_distinct(hs)) == F.size(hs), hs).otherwise(_let(F.sort_array(hs), numbered))
+    return _let(hashes, once)
 
 
 def likeness(a: Column, a_pieces: Column, b: Column, b_pieces: Column) -> Column:

@@ -11,7 +11,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from lodestone.llm import catalog, fingerprint, langid, license_scan, packing, secret_scan
@@ -34,26 +33,23 @@ def _fingerprint(text):
     return hashlib.sha256("".join(sects).encode()).hexdigest() + ":" + "".join(sects)
 
 
-def _chained(*parts):
-    h = 42
-    for p in parts:
-        h = xxhash.xxh64(p.encode(), seed=h).intdigest()
-    return h - (1 << 64) if h >> 63 else h
-
-
 def _leaves(text):
+    """Cut character by character, by the rule in words."""
+    marked = lambda c: (33 < ord(c) < 127 and ord(c) % 2 == 0) or "\x80" <= c <= "\uffff"
+    other = lambda c: 32 < ord(c) < 127 and ord(c) % 2 == 1
+    blank = " \t\n\x0b\x0c\r"
     out = Counter()
     for line in text.split("\n"):
-        units = [u for u in re.split(r"(?<=\s)(?=\S)|(?<=\S{24})(?=\S)", line, flags=re.ASCII) if u]
-        piece = ""
-        for i, u in enumerate(units):
-            cut = _chained(*units[max(0, i - 3) : i + 1]) % 16 == 0 if len(u) == 1 else _chained(u) % 2 == 0
-            for j, c in enumerate(u):
-                piece += c
-                if len(piece) == 96 or (len(piece) >= 8 and cut and j == len(u) - 1):
-                    out[piece] += 1
-                    piece = ""
-        out[piece] += bool(piece)
+        at = 0
+        for i in range(1, len(line) + 1):
+            before = line[max(0, i - 24) : i]
+            word = len(before) > 1 and before[-1] in blank and marked(before[-2])
+            run = len(before) == 24 and not set(before) & set(blank) and all(33 < ord(c) < 127 and ord(c) % 2 == m for c, m in zip(before[20:], (0, 1, 0, 0), strict=True) if m == 0) and other(before[21])
+            if i - at == 96 or (i - at >= 8 and (word or run or before[-1] in "\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f")):
+                out[line[at:i]] += 1
+                at = i
+        if at < len(line):
+            out[line[at:]] += 1
     return out
 
 
