@@ -4,34 +4,36 @@ A byte string of ``length`` bytes that starts at two places, in one document or
 a repeat. To find all of them without one suffix array over the corpus, the suffixes are
 dealt out by content: in each window of ``length`` bytes the ``GRAM``-gram of least hash
 (the leftmost of equals) is the window's anchor, and equal windows have equal anchors at
-equal places. The windows that share an anchor are a run; runs with equal bytes (by a
-128-bit hash) are a class. All runs are counted first, without their bytes: a class of
-several runs repeats whole, and an anchor of one run and no more has no repeat. Only of
-anchors with several classes is one run of each class fetched from its text.
-
-Those runs are laid end to end, in the order of their first occurrence, in blocks. Their
-suffixes are sorted up to ``length`` bytes, with the common prefixes of neighbours; the
-previous and next smaller positions in that order give each suffix's longest previous
-factor. A factor of ``length`` is a later copy. Read from the other end the same arrays
-give the longest next factor, and a suffix with either has a copy.
+equal places. The windows that share an anchor are a run. Anchors are counted over all
+documents; only the runs of those that occur twice are written, with their bytes once a
+task (a bitmap that grows with the count, up to 128 MB, tells them apart; beyond that it
+lets others through, which changes nothing but the work). Runs with equal bytes (by a
+128-bit hash) are a class, and a class of several runs repeats whole.
+
+The classes of an anchor are laid end to end, in the order of their first occurrence, in
+blocks. Their suffixes are sorted up to ``length`` bytes, with the common prefixes of
+neighbours; the previous and next smaller positions in that order give each suffix's
+longest previous factor. A factor of ``length`` is a later copy. Read from the other end
+the same arrays give the longest next factor, and a suffix with either has a copy.
 
 An anchor with more classes than ``group`` is dealt out over several blocks; windows that
 are first in their block are then compared across blocks by a 128-bit hash.
 
-``keep="first"`` removes later copies and keeps the first, by (id, digest of the text,
+``keep="first"`` removes later copies and keeps the first, by (id, hash of the text,
 position); ``keep="none"`` removes every copy. What is removed is each byte that a removed
 window covers.
 
-Passages of over 50 words can be shorter than ``length``. Runs of ``passage`` words or more
-(between blanks, A-Z in lower case) that another document has too are found alike, with
-words for bytes and 64-bit hashes of the windows in place of their suffixes; they are
-counted, not removed.
+Passages of over 50 words can be shorter than ``length``. They are counted, not removed:
+of each ``passage`` words in a row (between blanks, A-Z in lower case) the shingle of
+``SHINGLE`` words with the least hash is looked up in all documents. So of every run of
+``passage`` words that another document has too a shingle is found, and no run of fewer
+than ``SHINGLE`` words gives one.
 
 Defined results: a null text is an empty one. Texts under ``length`` bytes lose nothing.
 Matches never cross documents. Repeated rows are copies of each other; with
-``keep="first"`` rows of equal id and text share their fate, and are one document to
-passages. An empty table gives no rows. Texts are read whole, long ones in overlapping
-segments; only the columns named are read.
+``keep="first"`` rows of equal id and text share their fate. To passages rows of equal id
+and text are one document. An empty table gives no rows. Texts are read whole, long ones
+in overlapping segments; only the columns named are read.
 """
 
 from __future__ import annotations
@@ -45,15 +47,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.batches import slices
-from lodestone.llm.ngram_join import _CODES, _STEP, CHUNK, _powers, mix, word_hashes
+from lodestone.llm.ngram_join import _CODES, CHUNK, _powers, mix, word_hashes
 from lodestone.session import stored
 
-GRAM, WORD_GRAM, SEGMENT = 32, 8, 1 << 19
-BLOCK_BYTES, GROUP, BUCKET_WINDOWS = 1 << 20, 1500, 400_000
+GRAM, SHINGLE, SEGMENT = 32, 26, 1 << 19
+#: Bytes of a task's block, and of the part of it that is sorted at once (whole anchors, so that arrays stay in the cache).
+BLOCK_BYTES, SORT_BYTES = 1 << 20, 1 << 16
+GROUP, BUCKET_WINDOWS, SEEN = 1500, 400_000, 100_000
 #: Keys with more rows than this, and than one in ``MOST_HOT`` of all rows, meet their one partner by broadcast.
 HOT, MOST_HOT = 10_000, 50_000
 _AT = np.uint64((1 << 24) - 1)
-_WORDS = np.uint64(0xA24BAED4963EE407)
 
 
 def _sliding_least(x: np.ndarray, w: int) -> np.ndarray:
@@ -85,13 +88,18 @@ def anchors(codes: np.ndarray, length: int, gram: int) -> Iterator[tuple[np.ndar
         yield h[p[lo]], p[lo] + at, lo + at, np.diff(np.append(lo, len(p)))
 
 
-def _chains(data: np.ndarray, h: np.ndarray, p: np.ndarray, lo: np.ndarray, n: np.ndarray, length: int) -> Iterator[tuple[int, int]]:
-    """(first run, runs) of the stretches of runs with equal windows: where a text repeats at once, they are one row."""
+def _chains(data: np.ndarray, h: np.ndarray, p: np.ndarray, lo: np.ndarray, n: np.ndarray, length: int, marked: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first run, runs) of the stretches of marked runs with equal windows: where a text repeats at once, they are one row."""
     like = (h[1:] == h[:-1]) & (n[1:] == n[:-1]) & ((p - lo)[1:] == (p - lo)[:-1])
     begin = np.flatnonzero(np.concatenate([[True], ~like]))
-    for s, e in zip(begin.tolist(), np.append(begin[1:], len(h)).tolist(), strict=True):
+    end_of = np.append(begin[1:], len(h))
+    some = np.flatnonzero(marked[begin])
+    for s, e in zip(begin[some].tolist(), end_of[some].tolist(), strict=True):
+        if e - s == 1:
+            yield s, 1
+            continue
         a, step, end = lo[s], n[s], lo[e - 1] + n[e - 1] + length - 1
-        if e - s > 1 and (data[a : end - step] == data[a + step : end]).all():
+        if (data[a : end - step] == data[a + step : end]).all():
             yield s, e - s
         else:
             for k in range(s, e):
@@ -107,52 +115,86 @@ def _words_of(data: np.ndarray) -> np.ndarray:
     return word_hashes(data, np.array([0, len(data)]))[0]
 
 
-def _numbered(docs: DataFrame, keep: str, id_col: str, text_col: str) -> DataFrame:
-    """doc, id, text, copies; with ``keep="first"`` in the order by which copies are first."""
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, key (a hash of the text), text."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    if keep == "first":
-        rows = rows.groupBy("id", F.md5("text").alias("key")).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")).orderBy(F.col("id").asc_nulls_first(), "key").drop("key")
-    else:
-        rows = rows.withColumn("copies", F.lit(1).cast("long"))
-    return stored(rows.withColumn("doc", F.monotonically_increasing_id()), "numbered")
+    return rows.select("id", F.xxhash64("text").alias("key"), "text")
+
 
+def _counts(src: DataFrame, length: int) -> DataFrame:
+    """(anchor, c) of the anchors that occur more than once."""
 
-_RUN = "doc long, words boolean, lo long, n long, times long, anchor long, k1 long, k2 long"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for b in slices(batches):
+            for data in _raw(b.column(0).cast(pa.large_binary())):
+                held += [h for h, *_ in anchors(_CODES[data], length, GRAM)] if len(data) >= length else []
+            if len(held) >= 5000:
+                yield out(held)
+        if held:
+            yield out(held)
+
+    def out(held: list[np.ndarray]) -> pa.RecordBatch:
+        h, c = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["anchor", "c"])
+
+    return src.select("text").mapInArrow(run, "anchor long, c long").groupBy("anchor").agg(F.sum("c").alias("c")).where("c > 1")
+
+
+def _bitmap(anchors: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap in which the anchors' bits are set: eight bits or more an anchor, 2^30 at most."""
+    bits = int(np.clip(3 + int(anchors.count()).bit_length(), 18, 30))
+    bit = F.pmod(F.col("anchor"), F.lit(1 << bits))
+    pages = (
+        anchors.select(bit.alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit + 1)").alias("page"))
+        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit + 1))").alias("bits")).collect()
+    )
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in pages:  # of 32768 bits; the first is page 1
+        out[(r["page"] - 1) * 4096 : r["page"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out, bits
 
 
-def _runs(table: DataFrame, length: int, passage: int) -> DataFrame:
-    """All runs of windows, of bytes and of words: where they are, their anchor and the 128-bit hash of their bytes or words."""
-    names = [f.split()[0] for f in _RUN.split(", ")]
-    kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 6]
+def _runs(src: DataFrame, anchored: tuple[np.ndarray, int], length: int) -> DataFrame:
+    """The runs of repeated anchors: id, key, lo, n windows, times, anchor, k1 and k2 (the class), ctx (its bytes, once a task)."""
+    shared = src.sparkSession.sparkContext.broadcast(anchored)
+    kind = src.schema["id"].dataType.simpleString()
+    names = ["id", "key", "lo", "n", "times", "anchor", "k1", "k2", "ctx"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap, bits = shared.value
+        low = np.uint64((1 << bits) - 1)
+        seen: set[bytes] = set()
         for b in slices(batches):
-            held: list[tuple] = []
-            docs, digests = b.column(0).to_pylist(), []
-            for doc, data in zip(docs, _raw(b.column(1).cast(pa.large_binary())), strict=True):
-                for words, raw, codes, size, gram in ((False, data, None, length, GRAM), (True, None, None, passage, WORD_GRAM)):
-                    raw = _words_of(data) if words else raw
-                    if len(raw) < size:
-                        continue
-                    codes = raw if words else _CODES[raw]
-                    for h, p, lo, n in anchors(codes, size, gram):
-                        for k, times in _chains(raw, h, p, lo, n, size):
-                            at, many = int(lo[k]), int(n[k])
-                            digests.append(hashlib.blake2b(raw[at : at + many + size - 1].tobytes(), digest_size=16, key=int(p[k] - at).to_bytes(4, "little")).digest())
-                            held.append((doc, words, at, many, times, int(h[k] ^ _WORDS if words else h[k])))
-                if len(held) >= 50_000:
-                    yield out(held, digests)
-                    held, digests = [], []
+            held, digests, ctx = [], [], []
+            for row, data in enumerate(_raw(b.column(2).cast(pa.large_binary()))):
+                for h, p, lo, n in anchors(_CODES[data], length, GRAM) if len(data) >= length else ():
+                    where = h & low
+                    marked = bitmap[where >> np.uint64(3)] >> (where & np.uint64(7)).astype(np.uint8) & 1
+                    for k, times in _chains(data, h, p, lo, n, length, marked):
+                        at, many = int(lo[k]), int(n[k])
+                        body = data[at : at + many + length - 1].tobytes()
+                        digest = hashlib.blake2b(body, digest_size=16, key=int(p[k] - at).to_bytes(4, "little")).digest()
+                        digests.append(digest)
+                        held.append((row, at, many, times, h[k].view(np.int64)))
+                        ctx.append(None if digest in seen else body)
+                        seen.add(digest)
+                if len(held) >= 20_000:
+                    yield out(b, held, digests, ctx)
+                    held, digests, ctx = [], [], []
             if held:
-                yield out(held, digests)
+                yield out(b, held, digests, ctx)
+            if len(seen) > SEEN:
+                seen.clear()
 
-    def out(held: list[tuple], digests: list[bytes]) -> pa.RecordBatch:
-        doc, words, lo, n, times, anchor = zip(*held, strict=True)
+    def out(b: pa.RecordBatch, held: list[tuple], digests: list[bytes], ctx: list[bytes | None]) -> pa.RecordBatch:
+        row, *rest = zip(*held, strict=True)
         k1, k2 = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2).T
-        columns = [doc, words, lo, n, times, np.array(anchor, np.uint64).view(np.int64), k1.copy(), k2.copy()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        at = pa.array(row, pa.int32())
+        return pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(x, pa.int64()) for x in rest), pa.array(k1.copy()), pa.array(k2.copy()), pa.array(ctx, pa.binary())], names)
 
-    return table.select("doc", "text").mapInArrow(run, _RUN)
+    return src.mapInArrow(run, f"id {kind}, key long, lo long, n long, times long, anchor long, k1 long, k2 long, ctx binary")
 
 
 def _met(rows: DataFrame, single: DataFrame, on: dict[str, str], count: str) -> DataFrame:
@@ -254,45 +296,68 @@ def _packed(flags: np.ndarray) -> bytes:
     return np.packbits(flags).tobytes() if flags.any() else b""
 
 
-_KEYS = "anchor long, k1 long, k2 long"
-_LISTS = "anchors array<long>, k1s array<long>, k2s array<long>, docs array<long>, los array<long>"
+def _parts(sizes: list[int], anchors: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of contexts in anchor order, of ``SORT_BYTES`` or somewhat more, that split no anchor."""
+    begin, held = 0, 0
+    for i, (size, anchor) in enumerate(zip(sizes, anchors, strict=True)):
+        if held >= SORT_BYTES and anchor != anchors[i - 1]:
+            yield begin, i
+            begin, held = i, 0
+        held += size
+    if sizes:
+        yield begin, len(sizes)
+
+
+_KEYS = "k1 long, k2 long"
+_LISTS = "k1s array<long>, k2s array<long>, places array<long>"
 _MASKS = f"{_KEYS}, matched binary, earlier binary, bucket int, windows binary, {_LISTS}"
-#: One window that is first in its block: a 128-bit hash, its class in the row's lists, its place, whether it is alone.
-_WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("cls", "<i4"), ("w", "<i4"), ("alone", "?")])
+#: One window that is first in its block: a 128-bit hash, its class in the row's lists, its place.
+_WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("cls", "<i4"), ("w", "<i4")])
 
 
 def _factor_blocks(rows: DataFrame, length: int, buckets: int) -> DataFrame:
-    """A mask of each class's windows; for anchors over several blocks also the windows that are first in their block, packed by hash bucket."""
+    """A mask of each class's windows; for anchors over several blocks also the windows that are first in their block, packed by hash bucket.
+
+    rows: block, salt, anchor, k1, k2, place (the class's number in order), split, ctx.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        t = table.sort_by([("doc", "ascending"), ("lo", "ascending")])
+        seen, picked = set(), []
+        for i, k in enumerate(zip(table.column("k1").to_pylist(), table.column("k2").to_pylist(), strict=True)):
+            if k not in seen:
+                seen.add(k)
+                picked.append(i)
+        t = table.take(pa.array(picked)).sort_by([("anchor", "ascending"), ("place", "ascending"), ("k1", "ascending"), ("k2", "ascending")])
         ctx, split = t.column("ctx").to_pylist(), t.column("split").to_pylist()
-        matched, earlier, starts = block_factors(ctx, length)
-        whole, at, masks, packed = b"".join(ctx), 0, ([], []), []
-        for i, c in enumerate(ctx):
-            n = len(c) - length + 1
-            m, e = matched[at : at + n], earlier[at : at + n]
-            masks[0].append(_packed(m))
-            masks[1].append(_packed(e))
-            if split[i]:
-                first = np.flatnonzero(~e)
-                w = np.zeros(len(first), _WINDOW)
-                hashes = b"".join(hashlib.blake2b(whole[s : s + length], digest_size=16).digest() for s in starts[at + first])
-                w["a"], w["b"] = np.frombuffer(hashes, "<u8").reshape(-1, 2).T
-                w["cls"], w["w"], w["alone"] = i, first, ~m[first]
-                packed.append(w)
-            at += n
-        keys = {k: t.column(k).to_pylist() for k in ("anchor", "k1", "k2", "doc", "lo")}
+        masks, packed = ([], []), []
+        for begin, end in _parts([len(c) for c in ctx], t.column("anchor").to_pylist()):
+            part = ctx[begin:end]
+            matched, earlier, starts = block_factors(part, length)
+            whole, at = b"".join(part), 0
+            for i, c in enumerate(part, begin):
+                n = len(c) - length + 1
+                m, e = matched[at : at + n], earlier[at : at + n]
+                masks[0].append(_packed(m))
+                masks[1].append(_packed(e))
+                if split[i]:
+                    first = np.flatnonzero(~e)
+                    w = np.zeros(len(first), _WINDOW)
+                    hashes = b"".join(hashlib.blake2b(whole[s : s + length], digest_size=16).digest() for s in starts[at + first])
+                    w["a"], w["b"] = np.frombuffer(hashes, "<u8").reshape(-1, 2).T
+                    w["cls"], w["w"] = i, first
+                    packed.append(w)
+                at += n
+        keys = {k: t.column(k).to_pylist() for k in ("k1", "k2", "place")}
         nothing = [None] * len(ctx)
-        out = {k: list(keys[k]) for k in ("anchor", "k1", "k2")} | {"matched": masks[0], "earlier": masks[1], "bucket": nothing[:], "windows": nothing[:]}
-        lists = {"anchors": nothing[:], "k1s": nothing[:], "k2s": nothing[:], "docs": nothing[:], "los": nothing[:]}
+        out = {k: list(keys[k]) for k in ("k1", "k2")} | {"matched": masks[0], "earlier": masks[1], "bucket": nothing[:], "windows": nothing[:]}
+        lists = {"k1s": nothing[:], "k2s": nothing[:], "places": nothing[:]}
         if packed:
             windows = np.concatenate(packed)
             of = (windows["a"] % np.uint64(buckets)).astype(int)
             for k in np.unique(of):
                 part = windows[of == k]
                 used, part["cls"] = np.unique(part["cls"], return_inverse=True)
-                for name in ("anchor", "k1", "k2", "matched", "earlier"):
+                for name in ("k1", "k2", "matched", "earlier"):
                     out[name].append(None)
                 out["bucket"].append(int(k))
                 out["windows"].append(part.tobytes())
@@ -305,7 +370,7 @@ def _factor_blocks(rows: DataFrame, length: int, buckets: int) -> DataFrame:
 
 
 def _across_blocks(packed: DataFrame) -> DataFrame:
-    """(anchor, k1, k2, also, also_late): windows of a class that other blocks have too, and those of them that have them earlier."""
+    """(x1, x2, also, also_late): windows of a class that other blocks have too, and those of them that have them earlier."""
 
     def run(table: pa.Table) -> pa.Table:
         parts, classes = [], []
@@ -313,10 +378,10 @@ def _across_blocks(packed: DataFrame) -> DataFrame:
             w = np.frombuffer(r["windows"], _WINDOW).copy()
             w["cls"] += len(classes)
             parts.append(w)
-            classes += zip(r["anchors"], r["k1s"], r["k2s"], r["docs"], r["los"], strict=True)
+            classes += zip(r["k1s"], r["k2s"], r["places"], strict=True)
         w = np.concatenate(parts)
         keys = np.array(classes, np.int64)
-        order = np.lexsort((keys[w["cls"], 4] + w["w"], keys[w["cls"], 3], w["b"], w["a"]))
+        order = np.lexsort((w["w"], keys[w["cls"], 2], w["b"], w["a"]))
         w = w[order]
         new = np.concatenate([[True], (w["a"][1:] != w["a"][:-1]) | (w["b"][1:] != w["b"][:-1])])
         many = np.repeat(np.diff(np.append(np.flatnonzero(new), len(w))) > 1, np.diff(np.append(np.flatnonzero(new), len(w))))
@@ -326,123 +391,83 @@ def _across_blocks(packed: DataFrame) -> DataFrame:
             here[0].append(int(w["w"][i]))
             if not new[i]:
                 here[1].append(int(w["w"][i]))
-        columns = {k: pa.array([classes[c][j] for c in also], pa.int64()) for j, k in enumerate(("anchor", "k1", "k2"))}
+        columns = {k: pa.array([classes[c][j] for c in also], pa.int64()) for j, k in enumerate(("k1", "k2"))}
         lists = {k: pa.array([x[j] for x in also.values()], pa.list_(pa.int64())) for j, k in enumerate(("also", "also_late"))}
         return pa.table(columns | lists)
 
     found = packed.groupBy("bucket").applyInArrow(run, f"{_KEYS}, also array<long>, also_late array<long>")
-    return found.groupBy(F.col("anchor").alias("xa"), F.col("k1").alias("x1"), F.col("k2").alias("x2")).agg(F.flatten(F.collect_list("also")).alias("also"), F.flatten(F.collect_list("also_late")).alias("also_late"))
+    return found.groupBy(F.col("k1").alias("x1"), F.col("k2").alias("x2")).agg(F.flatten(F.collect_list("also")).alias("also"), F.flatten(F.collect_list("also_late")).alias("also_late"))
 
 
-# windows of words
+def _placed(classes: DataFrame) -> DataFrame:
+    """``classes`` with place: their number in the order of first occurrence (ranges of the order, numbered in turn)."""
+    order = [F.col("first.id").asc_nulls_first(), "first.key", "first.lo", "k1", "k2"]
+    return stored(classes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()), "placed-classes")
 
 
-def _word_blocks(rows: DataFrame) -> DataFrame:
-    """(anchor, k1, k2, mask) of the classes of word runs whose windows other documents have too. rows: doc, last: the class's first and last document."""
-
-    def run(table: pa.Table) -> pa.Table:
-        ctx = [np.frombuffer(c, np.int64) for c in table.column("ctx").to_pylist()]
-        sizes = np.array([len(c) for c in ctx])
-        _, of = np.unique(np.concatenate(ctx), return_inverse=True)
-        low, high = (np.repeat(table.column(c).to_numpy(), sizes) for c in ("doc", "last"))
-        least, most = np.full(of.max() + 1, np.iinfo(np.int64).max), np.full(of.max() + 1, -1)
-        np.minimum.at(least, of, low)
-        np.maximum.at(most, of, high)
-        shared = (least != most)[of]
-        masks = [_packed(m) for m in np.split(shared, np.cumsum(sizes)[:-1])]
-        return pa.table({**{k: table.column(k) for k in ("anchor", "k1", "k2")}, "mask": pa.array(masks, pa.binary())})
-
-    return rows.groupBy("block").applyInArrow(run, f"{_KEYS}, mask binary")
-
-
-def _crowded_words(rows: DataFrame) -> DataFrame:
-    """(xa, x1, x2, also): the same for anchors of very many classes, window by window."""
-    each = stored(rows.select("anchor", "k1", "k2", "doc", "last", F.posexplode("hashes").alias("j", "w")), "word-windows")
-    shared = each.groupBy(F.col("w").alias("sw")).agg(F.min("doc").alias("a"), F.max("last").alias("b"), F.count(F.lit(1)).alias("many")).where("a <> b").select("sw", "many")
-    back = _met(each, stored(shared, "shared-windows"), {"w": "sw"}, "many")
-    return back.groupBy(F.col("anchor").alias("xa"), F.col("k1").alias("x1"), F.col("k2").alias("x2")).agg(F.collect_list(F.col("j").cast("long")).alias("also"))
-
-
-def _fetched(table: DataFrame, wanted: DataFrame, length: int, passage: int) -> DataFrame:
-    """The rows of ``wanted`` with ctx: a run's bytes, or the hashes of its windows of words. wanted: doc, lo, n, words and others."""
-    fields = [f for f in wanted.schema.fields if f.name != "doc"]
-    per = wanted.groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct(*[f.name for f in fields])).alias("want"))
-    joined = table.select("doc", "text").join(per, F.col("doc") == F.col("of")).select("doc", "text", "want")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            want, ctx = b.column(2), []
-            flat = want.flatten()
-            owner = np.repeat(np.arange(b.num_rows), np.diff(want.offsets.to_numpy()))
-            los, ns, kinds = (flat.field(k).to_pylist() for k in ("lo", "n", "words"))
-            data, windows, now = None, None, -1
-            raws = list(_raw(b.column(1).cast(pa.large_binary())))
-            for i, lo, n, words in zip(owner.tolist(), los, ns, kinds, strict=True):
-                if i != now:
-                    now, data, windows = i, raws[i], None
-                if words and windows is None:
-                    windows = _rolled(_words_of(data) * _STEP, passage)
-                ctx.append((windows[lo : lo + n] if words else data[lo : lo + n + length - 1]).tobytes())
-            columns = [b.column(0).take(pa.array(owner)), *flat.flatten(), pa.array(ctx, pa.large_binary()).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc", *[f.name for f in fields], "ctx"])
-
-    return joined.mapInArrow(run, ", ".join(["doc long", *[f"{f.name} {f.dataType.simpleString()}" for f in fields], "ctx binary"]))
-
-
-def repeated_windows(table: DataFrame, length: int, keep: str, group: int = GROUP, passage: int = 51) -> DataFrame:
-    """(doc, words, lo, n, times, mask, extra, whole): for runs of n windows from lo, ``times`` of them, which have copies."""
-    runs = stored(_runs(table, length, passage), "runs")
+def repeated_windows(src: DataFrame, length: int, keep: str, group: int = GROUP) -> DataFrame:
+    """(id, key, lo, n, times, mask, extra, whole): for runs of n windows from lo, ``times`` of them, which have copies. src: id, key, text."""
+    runs = stored(_runs(src, _bitmap(stored(_counts(src, length), "anchors")), length), "runs")
+    aggregates = [F.sum("times").alias("c"), F.count(F.lit(1)).alias("rows"), F.min("anchor").alias("anchor")]
     if keep == "first":
-        at = F.min(F.struct("doc", "lo"))
-        rep = [at["doc"].alias("doc"), at["lo"].alias("lo")]
-    else:  # any run of the class does
-        rep = [F.min("doc").alias("doc"), F.min_by("lo", "doc").alias("lo")]
-    classes = stored(
-        runs.groupBy("words", "anchor", "k1", "k2").agg(F.sum("times").alias("c"), F.count(F.lit(1)).alias("rows"), F.min("n").alias("n"), F.max("doc").alias("last"), *rep), "run-classes"
-    )
-    by_anchor = classes.groupBy(F.col("anchor").alias("m")).agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("total")).where("total > 1")
-    live = stored(_met(classes, stored(by_anchor, "anchors"), {"anchor": "m"}, "k").drop("m", "total"), "live-classes")
-
-    sizes = live.where("k > 1").groupBy("words").agg(F.sum(F.when(F.col("words"), 8 * F.col("n")).otherwise(F.col("n") + length - 1)).alias("bytes"), F.sum(F.when(F.col("k") > group, F.col("n"))).alias("crowded"))
-    total = {r["words"]: (r["bytes"], r["crowded"] or 0) for r in sizes.collect()}
-    blocks = {w: max(1, total.get(w, (0, 0))[0] // BLOCK_BYTES) for w in (False, True)}
+        classes = _placed(runs.groupBy("k1", "k2").agg(*aggregates, F.min(F.struct("id", "key", "lo")).alias("first")))
+    else:  # the order doesn't matter
+        classes = stored(runs.groupBy("k1", "k2").agg(*aggregates).withColumn("place", F.lit(0).cast("long")), "run-classes")
+    many = stored(classes.groupBy(F.col("anchor").alias("m")).agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "crowded-anchors")
+    named = _met(classes.select("anchor", "k1", "k2", "place", "rows"), many, {"anchor": "m"}, "k").select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), "place", "k")
+    total = runs.agg(F.sum(F.octet_length("ctx")).alias("n")).first()["n"] or 0
+    crowded = many.where(F.col("k") > group).agg(F.sum("k").alias("n")).first()["n"] or 0
+    blocks = max(1, int(total // BLOCK_BYTES))
     shares = F.ceil(F.col("k") / F.lit(group)).cast("long")
-    wanted = live.where("k > 1").select(
-        "doc", "lo", "n", "words", "anchor", "k1", "k2", "last", F.when(F.col("words"), F.pmod("anchor", F.lit(blocks[True]))).otherwise(F.pmod("anchor", F.lit(blocks[False]))).alias("block"),
-        F.when(shares > 1, F.concat_ws(":", "anchor", F.pmod(F.xxhash64("k1"), shares))).otherwise("").alias("salt"), (shares > 1).alias("split"),
+    rows = runs.where("ctx is not null").select("anchor", "k1", "k2", "ctx").join(named, (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2"))).select(
+        F.pmod("anchor", F.lit(blocks)).alias("block"), F.when(shares > 1, F.concat_ws(":", "anchor", F.pmod(F.xxhash64("k1"), shares))).otherwise("").alias("salt"),
+        "anchor", "k1", "k2", "place", (shares > 1).alias("split"), "ctx",
     )
-    fetched = stored(_fetched(table, wanted, length, passage), "contexts")
-
-    found = stored(_factor_blocks(fetched.where("not words"), length, 1 + total.get(False, (0, 0))[1] // BUCKET_WINDOWS), "factors")
+    found = stored(_factor_blocks(rows, length, 1 + crowded * length // BUCKET_WINDOWS), "factors")
     side, extra = ("matched", "also") if keep == "none" else ("earlier", "also_late")
-    keys = (F.col("anchor") == F.col("xa")) & (F.col("k1") == F.col("x1")) & (F.col("k2") == F.col("x2"))
     more = _across_blocks(found.where("bucket is not null").select("bucket", "windows", *[f.split()[0] for f in _LISTS.split(", ")]))
-    of_bytes = found.where("bucket is null").join(more, keys, "left").select(F.lit(False).alias("kind"), F.col("anchor").alias("ma"), F.col("k1").alias("m1"), F.col("k2").alias("m2"), F.col(side).alias("mask"), F.col(extra).alias("extra"))
-    words = fetched.where("words")
-    plain = _word_blocks(words.where("not split")).select(F.lit(True).alias("kind"), "anchor", "k1", "k2", "mask", F.lit(None).cast("array<long>").alias("extra"))
-    hashes = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.substring("ctx", (8 * j + 1).cast("int"), 8))
-    crowded = _crowded_words(words.where("split").withColumn("hashes", hashes)).select(F.lit(True), "xa", "x1", "x2", F.lit(b""), "also")
-    masks = of_bytes.unionAll(plain).unionAll(crowded)
-
-    decided = live.join(masks, (F.col("words") == F.col("kind")) & (F.col("anchor") == F.col("ma")) & (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")), "left")
-    whole = F.when(F.col("words"), F.col("doc") != F.col("last")).otherwise(F.col("c") > 1)
-    kept = F.col("extra").isNotNull() | (F.length("mask") > 0)
-    decided = decided.withColumn("whole", whole).where(F.col("whole") | F.coalesce(kept, F.lit(False))).select(
-        F.col("words").alias("dw"), F.col("anchor").alias("da"), F.col("k1").alias("d1"), F.col("k2").alias("d2"), F.col("doc").alias("first_doc"), F.col("lo").alias("first_lo"), "rows", "mask", "extra", "whole"
-    )
-    joined = _met(runs, stored(decided, "decided"), {"words": "dw", "anchor": "da", "k1": "d1", "k2": "d2"}, "rows")
-    first = ~F.col("words") & (F.col("doc") == F.col("first_doc")) & (F.col("lo") == F.col("first_lo")) if keep == "first" else F.lit(False)
+    masks = found.where("bucket is null").join(more, (F.col("k1") == F.col("x1")) & (F.col("k2") == F.col("x2")), "left").where(f"length({side}) > 0 or {extra} is not null")
+    masks = masks.select(F.col("k1").alias("m1"), F.col("k2").alias("m2"), F.col(side).alias("mask"), F.col(extra).alias("extra"))
+    decided = classes.join(masks, (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")), "left").where("c > 1 or m1 is not null")
+    first = [F.col("first")] if keep == "first" else []
+    decided = stored(decided.select(F.col("k1").alias("d1"), F.col("k2").alias("d2"), "rows", "mask", "extra", (F.col("c") > 1).alias("whole"), *first), "decided")
+    fields = ["id", "key", "lo", "n", "times", "mask", "extra", "whole"]
+    joined = _met(runs.drop("ctx", "anchor"), decided, {"k1": "d1", "k2": "d2"}, "rows")
+    if keep == "none":
+        return joined.withColumn("mask", F.when(~F.col("whole"), F.col("mask"))).withColumn("extra", F.when(~F.col("whole"), F.col("extra"))).select(fields)
+    here = F.struct("id", "key", "lo").eqNullSafe(F.col("first"))
+    own = joined.withColumn("whole", F.col("whole") & ~here).withColumn("mask", F.when(~F.col("whole"), F.col("mask"))).withColumn("extra", F.when(~F.col("whole"), F.col("extra")))
     # of a first occurrence that repeats at once, the windows behind the first run are later copies
-    ahead = joined.where(first & (F.col("times") > 1)).select("doc", "words", (F.col("lo") + F.col("n")).alias("lo"), "n", (F.col("times") - 1).alias("times"), F.lit(None).cast("binary").alias("mask"), F.lit(None).cast("array<long>").alias("extra"), F.lit(True).alias("whole"))
-    out = joined.select(
-        "doc", "words", "lo", "n", F.when(first, F.lit(1)).otherwise(F.col("times")).alias("times"), "mask", "extra", (F.col("whole") & ~first).alias("whole")
-    )
-    out = out.unionAll(ahead) if keep == "first" else out
-    return out.select("doc", "words", "lo", "n", "times", F.when(~F.col("whole"), F.col("mask")).alias("mask"), F.when(~F.col("whole"), F.col("extra")).alias("extra"), "whole")
+    nothing = {"lo": F.col("lo") + F.col("n"), "times": F.col("times") - 1, "mask": F.lit(None).cast("binary"), "extra": F.lit(None).cast("array<long>"), "whole": F.lit(True)}
+    behind = joined.where(here & (F.col("times") > 1)).withColumns(nothing)
+    return own.withColumn("times", F.when(here, F.lit(1)).otherwise(F.col("times"))).select(fields).unionAll(behind.select(fields))
+
+
+def shared_passages(src: DataFrame, passage: int) -> DataFrame:
+    """(id, key, starts): the places, in words, of the shingles looked up that another document has. src: id, key, text."""
+    size = min(SHINGLE, passage)
+    kind = src.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            row, at, shingle = [], [], []
+            for i, data in enumerate(_raw(b.column(2).cast(pa.large_binary()))):
+                words = _words_of(data)
+                for h, p, _, _ in anchors(words, passage, size) if len(words) >= passage else ():
+                    fresh = np.concatenate([[True], h[1:] != h[:-1]])  # where a text repeats at once, the first place
+                    row.append(np.full(int(fresh.sum()), i, np.int32)), at.append(p[fresh]), shingle.append(h[fresh].view(np.int64))
+            if row:
+                rows = pa.array(np.concatenate(row))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(np.concatenate(at)), pa.array(np.concatenate(shingle))], ["id", "key", "start", "shingle"])
+
+    rows = stored(src.mapInArrow(run, f"id {kind}, key long, start long, shingle long"), "shingles")
+    doc = F.xxhash64("id", "key")
+    shared = rows.groupBy(F.col("shingle").alias("s")).agg(F.min(doc).alias("a"), F.max(doc).alias("b"), F.count(F.lit(1)).alias("many")).where("a <> b").select("s", "many")
+    return _met(rows, stored(shared, "shared-shingles"), {"shingle": "s"}, "many").groupBy("id", "key").agg(F.collect_list("start").alias("starts"))
 
 
 def _covered(size: int, marks: list[dict], length: int) -> np.ndarray:
-    """Which of ``size`` units the marked windows of ``length`` units cover."""
+    """Which of ``size`` bytes the marked windows of ``length`` bytes cover."""
     steps = np.zeros(size + 1, np.int64)
     for m in marks:
         if m["whole"]:
@@ -458,45 +483,51 @@ def _covered(size: int, marks: list[dict], length: int) -> np.ndarray:
     return np.cumsum(steps)[:-1] > 0
 
 
+def _union(starts: list[int], size: int) -> int:
+    """How much the ranges of ``size`` from the starts cover."""
+    at = np.unique(np.array(starts, np.int64))
+    return int(np.minimum(np.diff(at), size).sum() + size) if len(at) else 0
+
+
 def remove_repeats(
     docs: DataFrame, *, length: int = 400, keep: str = "first", group: int = GROUP, passage: int = 51, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """id, kept (binary: the bytes that stay), spans (array of start, end in bytes of the removed runs), n_bytes, passage_words.
+    """id, kept (binary: the bytes that stay), spans (array of start, end in bytes of the removed runs), n_bytes, shared_words.
 
-    ``passage_words``: words of the text in runs of ``passage`` words or more that another document has too.
+    ``shared_words``: words in the shingles, looked up of each ``passage`` words, that another document has.
     """
     if keep not in ("first", "none"):
         raise ValueError("keep is first or none")
-    table = _numbered(docs, keep, id_col, text_col)
-    marks = repeated_windows(table, length, keep, group, passage)
-    fields = ["words", "lo", "n", "times", "mask", "extra", "whole"]
-    per_text = marks.groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct(*fields)).alias("marks"))
-    joined = table.join(per_text, F.col("doc") == F.col("of"), "left").select("id", "text", "copies", "marks")
-    kind = table.schema["id"].dataType.simpleString()
-    span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    src = _texts(docs, id_col, text_col)
+    fields = ["lo", "n", "times", "mask", "extra", "whole"]
+    marks = repeated_windows(src, length, keep, group).groupBy("id", "key").agg(F.collect_list(F.struct(*fields)).alias("marks"))
+    both = marks.select(F.struct("id").alias("of"), F.col("key").alias("of_key"), "marks").join(
+        shared_passages(src, passage).select(F.struct("id").alias("of"), F.col("key").alias("of_key"), "starts"), ["of", "of_key"], "full"
+    )
+    joined = src.join(both, (F.struct("id") == F.col("of")) & (F.col("key") == F.col("of_key")), "left").select("id", "text", "marks", "starts")
+    kind = src.schema["id"].dataType.simpleString()
+    span, size = pa.struct([("start", pa.int64()), ("end", pa.int64())]), min(SHINGLE, passage)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 200):
-            kept, spans, sizes, shared = [], [], [], []
-            for data, marks in zip(_raw(b.column(1).cast(pa.large_binary())), b.column(3), strict=True):
-                marks = marks.as_py() or []
-                words = [m for m in marks if m["words"]]
-                gone = _covered(len(data), [m for m in marks if not m["words"]], length)
+            kept, spans, sizes = [], [], []
+            for data, marks in zip(_raw(b.column(1).cast(pa.large_binary())), b.column(2), strict=True):
+                gone = _covered(len(data), marks.as_py() or [], length)
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
                 spans.append([{"start": int(s), "end": int(e)} for s, e in edge.reshape(-1, 2)])
                 kept.append(data[~gone].tobytes())
                 sizes.append(len(data))
-                shared.append(int(_covered(max(m["lo"] + m["n"] * m["times"] for m in words) + passage - 1, words, passage).sum()) if words else 0)
-            columns = [pa.array(kept, pa.binary()), pa.array(spans, pa.list_(span)), pa.array(sizes, pa.int64()), pa.array(shared, pa.int64())]
-            copies = pa.array(np.repeat(np.arange(b.num_rows), b.column(2).to_numpy()))
-            yield pa.RecordBatch.from_arrays([c.take(copies) for c in (b.column(0), *columns)], ["id", "kept", "spans", "n_bytes", "passage_words"])
+            shared = [_union(x or [], size) for x in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(span)), pa.array(sizes, pa.int64()), pa.array(shared, pa.int64())], ["id", "kept", "spans", "n_bytes", "shared_words"]
+            )
 
-    return joined.mapInArrow(run, f"id {kind}, kept binary, spans array<struct<start:bigint,end:bigint>>, n_bytes long, passage_words long")
+    return joined.mapInArrow(run, f"id {kind}, kept binary, spans array<struct<start:bigint,end:bigint>>, n_bytes long, shared_words long")
 
 
 def digest_columns(removed: DataFrame) -> list[Column]:
-    """The columns n_bytes, n_removed, n_spans and kept_sha256 of what remove_repeats returns, and its passage_words."""
+    """The columns n_bytes, n_removed, n_spans and kept_sha256 of what remove_repeats returns, and its shared_words."""
     return [
         F.col("n_bytes"), (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
-        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.col("passage_words"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.col("shared_words"),
     ]
