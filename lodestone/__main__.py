@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession
 from lodestone.operators import output
 from lodestone.plans.levelwise import LOCAL_ELEMENTS, mine
 from lodestone.plans.utility_list import mine_lists
-from lodestone.session import local_session
+from lodestone.session import Phases, local_session, stored
 from lodestone.sources.spmf import read_spmf, to_transactions
 
 
@@ -31,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--part-strategy", default=None, help="ignored")
     p.add_argument("--local-elements", default=LOCAL_ELEMENTS, type=int, help="projected databases up to this size finish inside a task; 0: none")
     p.add_argument("--merge", action="store_true", help="merge equal baskets at every level")
+    p.add_argument("--no-subtree", action="store_true", help="explore by local utility alone, without subtree pruning")
     p.add_argument("--published-bound", action="store_true", help="keep the published local bound")
     p.add_argument("--json", action="store_true", help="report as JSON")
     p.add_argument("--debug", action="store_true", help="show Spark's log and the plan")
@@ -43,13 +44,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or (local_session(args.threads) if args.threads else SparkSession.builder.appName("lodestone").getOrCreate())
     if args.debug:
         spark.sparkContext.setLogLevel("INFO")
-    began = time.perf_counter()
+    began, phases = time.perf_counter(), Phases(spark)
     baskets, _ = read_spmf(spark, args.input)
-    tx, declared = to_transactions(baskets)
+    parsed = stored(baskets, "parsed")
+    phases.mark("parse")
+    tx, declared = to_transactions(parsed)
     if args.algorithm == "fhm":
-        mined = mine_lists(tx, args.minutil, declared=declared)
+        mined = mine_lists(tx, args.minutil, declared=declared, local_elements=args.local_elements, phases=phases)
     else:
-        mined = mine(tx, args.minutil, declared=declared, local_elements=args.local_elements, merging=args.merge, tighten=not args.published_bound)
+        mined = mine(
+            tx, args.minutil, declared=declared, local_elements=args.local_elements, merging=args.merge, tighten=not args.published_bound, subtree=not args.no_subtree, phases=phases
+        )
     if args.debug:
         mined.found.explain("formatted")
     if args.output == "/dev/stdout":
@@ -57,8 +62,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(row["value"])
     elif args.output != "/dev/null":
         output.write_lines(mined.found, args.output)
-    phases = mined.phases | {"total": time.perf_counter() - began}
-    report = output.report(mined.found, min_util=args.minutil, candidates=mined.candidates, phases=phases, parallelism=spark.sparkContext.defaultParallelism, as_json=args.json).first()
+    seconds = mined.phases | {"total": time.perf_counter() - began}
+    report = output.report(
+        mined.found, min_util=args.minutil, candidates=mined.candidates, phases=seconds, tasks=mined.tasks, parallelism=spark.sparkContext.defaultParallelism, as_json=args.json
+    ).first()
     if args.json:
         print(report["value"], file=sys.stderr)
     else:

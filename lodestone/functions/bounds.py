@@ -10,13 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.session import cut, observed
+
 #: Rows of an item or pair table that may be broadcast (some 30 bytes a row).
 BROADCAST_ROWS = 500_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has so few rows; else Spark shuffles it."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """``df``, computed and counted once, with a broadcast hint if it has so few rows; else Spark shuffles it."""
+    table, seen = observed(df, "items", n=F.count(F.lit(1)))
+    return F.broadcast(table) if seen["n"] <= rows else table
 
 
 def with_total(tx: DataFrame, declared: DataFrame | None = None) -> DataFrame:
@@ -39,8 +42,17 @@ def promising(items: DataFrame, min_util: int) -> DataFrame:
 
 
 def ranks(items: DataFrame) -> DataFrame:
-    """(item, twu, r): dense ranks from 1, by ascending twu, ties by ascending item."""
-    return items.withColumn("r", F.row_number().over(Window.orderBy("twu", "item")))
+    """(item, twu, r): dense ranks from 1, by ascending twu, ties by ascending item.
+
+    The items are range-sorted; an item's rank is its place in its partition and the items
+    of the partitions before, of which there is a row each.
+    """
+    ordered = cut(items.repartitionByRange("twu", "item").sortWithinPartitions("twu", "item")).withColumn("part", F.spark_partition_id())
+    sizes = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+    offsets = sizes.select(F.col("part").alias("p"), before.alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("twu", "item"))
+    return ordered.withColumn("place", place).join(F.broadcast(offsets), F.col("part") == F.col("p")).select("item", "twu", (F.col("place") + F.col("before")).cast("int").alias("r"))
 
 
 def revised(tx: DataFrame, ranked: DataFrame) -> DataFrame:

@@ -21,15 +21,17 @@ def write_lines(found: DataFrame, path: str) -> None:
     lines(found).write.mode("overwrite").text(path)
 
 
-def report(found: DataFrame, *, min_util: int, candidates: int, phases: dict[str, float] | None = None, parallelism: int = 0, as_json: bool = False) -> DataFrame:
-    """One row: min_util, n_itemsets, total_util, longest, n_candidates, parallelism and phase seconds; or the same as JSON."""
+def report(found: DataFrame, *, min_util: int, candidates: int, phases: dict[str, float] | None = None, tasks: dict[str, dict[str, int]] | None = None, parallelism: int = 0, as_json: bool = False) -> DataFrame:
+    """One row: min_util, n_itemsets, total_util, longest, n_candidates, parallelism, phase seconds and phases' task sums; or the same as JSON."""
     seconds = phases or {}
+    sums = {f"{phase}_{name}": n for phase, each in (tasks or {}).items() for name, n in each.items()}
     row = found.agg(F.count(F.lit(1)).alias("n_itemsets"), F.sum("util").alias("total_util"), F.max(F.size("items")).alias("longest")).select(
         F.lit(min_util).cast("long").alias("min_util"), "n_itemsets", "total_util", "longest", F.lit(candidates).cast("long").alias("n_candidates"),
         F.lit(parallelism).alias("parallelism"), *[F.lit(float(v)).alias(f"{k}_s") for k, v in seconds.items()],
+        *[F.lit(n).cast("long").alias(name) for name, n in sums.items()],
     )
     if not as_json:
         return row
     result = F.struct("min_util", "n_itemsets", "n_candidates", "total_util", "longest")
-    statistics = F.struct("parallelism", *[f"{k}_s" for k in seconds])
+    statistics = F.struct("parallelism", *[f"{k}_s" for k in seconds], *sums)
     return row.select(F.to_json(F.struct(result.alias("result"), statistics.alias("statistics"))).alias("value"))

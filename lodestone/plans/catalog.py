@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from lodestone.functions import bounds
 from lodestone.operators import output, projection
 from lodestone.plans.levelwise import mine
 from lodestone.plans.utility_list import mine_lists
-from lodestone.session import stored
+from lodestone.session import shared_dir, stored
 from lodestone.sources import relational, spmf
 
 #: Minimum utilities of the queries.
@@ -27,7 +28,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _revised(spark: SparkSession, sf_dir: str, min_util: int = BRAND) -> DataFrame:
-    tx = relational.brand_baskets(spark, sf_dir)
+    tx = stored(relational.brand_baskets(spark, sf_dir), "baskets")  # read for the bounds, and again
     return bounds.revised(tx, bounds.ranks(bounds.promising(bounds.twu(tx), min_util)))
 
 
@@ -114,9 +115,9 @@ def hui_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidate_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Explored itemsets under the published local bound."""
-    mined = mine(relational.brand_baskets(spark, sf_dir), BRAND, tighten=False)
-    return spark.createDataFrame([(mined.candidates,)], "candidates long")
+    """Itemsets whose extension was tried: by bounds (with the published local bound), and by lists with the pairs that were joined."""
+    tx = stored(relational.brand_baskets(spark, sf_dir), "baskets")
+    return spark.createDataFrame([("efim", mine(tx, BRAND, tighten=False).candidates), ("fhm", mine_lists(tx, BRAND).candidates)], "algorithm string, candidates long")
 
 
 def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,6 +135,16 @@ def spmf_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("tu", F.explode("z").alias("e")).groupBy(F.col("e.items").alias("item")).agg(F.sum("e.utils").alias("u"), F.sum("tu").alias("twu"), F.count(F.lit(1)).alias("n"))
 
 
+def spmf_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part baskets written as a folder of text files, numbers between tabs, and read again: each item's utility, twu and baskets."""
+    lines = relational.part_baskets(spark, sf_dir).groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("item", "u"))).alias("s"), F.sum("u").alias("tu"))
+    folder = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    lines.select(F.concat_ws(":", F.array_join("s.item", "\t"), F.col("tu").cast("string"), F.array_join("s.u", "\t")).alias("value")).write.text(folder)
+    tx, declared = spmf.to_transactions(spmf.read_spmf(spark, folder, mode="FAILFAST")[0])
+    whole = tx.join(declared, "tid")
+    return whole.groupBy("item").agg(F.sum("u").alias("u"), F.sum("tu").alias("twu"), F.count(F.lit(1)).alias("n"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "tx_build": tx_build, "db_stats": db_stats, "twu": twu, "items_promising": items_promising, "item_rank": item_rank, "tx_revised": tx_revised,
@@ -142,7 +153,7 @@ def queries() -> dict[str, Query]:
         "hui_part": _mined("part", PART), "hui_supp": _mined("supp", SUPP), "hui_brand": _mined("brand", BRAND), "hui_events": _mined("events", EVENTS),
         "hui_brand_levelwise": _mined("brand", BRAND, local_elements=0), "hui_brand_merged": _mined("brand", BRAND, local_elements=0, merging=True),
         "hui_brand_low": _mined("brand", LOW), "hui_fhm_brand": hui_fhm_brand, "hui_text": hui_text, "candidate_count": candidate_count, "run_report": run_report,
-        "spmf_parse": spmf_parse,
+        "spmf_parse": spmf_parse, "spmf_file": spmf_file,
     }
 
 
@@ -175,6 +186,48 @@ s(tid, last, items, u) AS (SELECT tid, item, [item], u FROM tx UNION ALL
 SELECT array_to_string(items, ' ') AS itemset, CAST(sum(u) AS BIGINT) AS util FROM s GROUP BY 1 HAVING sum(u) >= {min_util}"""
 
 
+_PARSED = f"WITH tx AS ({_TX['part']}), t AS (SELECT tid, sum(u) AS tu FROM tx GROUP BY tid) SELECT item, CAST(sum(u) AS BIGINT) AS u, CAST(sum(tu) AS BIGINT) AS twu, count(*) AS n FROM tx JOIN t USING (tid) GROUP BY item"
+
+
+def _efim_candidates(min_util: int, depth: int = 9) -> str:
+    """Explored itemsets, level by level: kept items by su or lu (of all later elements and the unpromising), explored ones by su.
+
+    ``depth`` levels are written out; the last must be empty, else the count is null.
+    """
+    out = f"""WITH {_RANKED}, slack AS (SELECT tid, tu.tu - sum(rv.u) AS extra FROM rv JOIN tu USING (tid) GROUP BY tid, tu.tu),
+e0 AS (SELECT r AS z FROM su WHERE su >= {min_util}),
+s1 AS (SELECT [ul.r] AS p, ul.tid, ul.iu AS pu, ul.r AS last FROM ul JOIN e0 ON ul.r = e0.z),
+k1 AS (SELECT DISTINCT s1.p, rk.r AS z FROM (SELECT DISTINCT p, last FROM s1) s1 JOIN rk ON rk.r > s1.last)"""
+    for d in range(1, depth):
+        out += f""",
+x{d} AS (SELECT s.p, s.tid, s.pu, v.r AS z, v.u, k.z IS NOT NULL AS may, sum(CASE WHEN k.z IS NOT NULL THEN v.u ELSE 0 END) OVER (PARTITION BY s.p, s.tid ORDER BY v.r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest,
+  sum(v.u) OVER (PARTITION BY s.p, s.tid) AS whole FROM s{d} s JOIN rv v ON v.tid = s.tid AND v.r > s.last LEFT JOIN k{d} k ON k.p = s.p AND k.z = v.r),
+b{d} AS (SELECT p, z, sum(pu + rest) AS su, sum(pu + extra + whole) AS lu FROM x{d} JOIN slack USING (tid) WHERE may GROUP BY p, z HAVING sum(pu + rest) >= {min_util} OR sum(pu + extra + whole) >= {min_util}),
+e{d} AS (SELECT p, z FROM b{d} WHERE su >= {min_util}),
+s{d + 1} AS (SELECT list_append(x.p, x.z) AS p, x.tid, x.pu + x.u AS pu, x.z AS last FROM x{d} x JOIN e{d} e ON e.p = x.p AND e.z = x.z),
+k{d + 1} AS (SELECT list_append(e.p, e.z) AS p, b.z FROM e{d} e JOIN b{d} b ON b.p = e.p AND b.z > e.z)"""
+    total = " + ".join(f"(SELECT count(*) FROM e{d})" for d in range(depth))
+    return f"SELECT * FROM ({out} SELECT 'efim' AS algorithm, CASE WHEN (SELECT count(*) FROM e{depth - 1}) = 0 THEN CAST({total} AS BIGINT) END AS candidates)"
+
+
+def _fhm_candidates(min_util: int, depth: int = 8) -> str:
+    """Lists at every node and surviving pairs of those that can be extended; a list counts if the bound of what its left parent shares with it is enough."""
+    out = f"""WITH {_twu("brand", BRAND)}, rk AS (SELECT item, row_number() OVER (ORDER BY twu, item DESC)::INT AS r FROM tw),
+rv AS (SELECT tid, r, u FROM tx JOIN rk USING (item)), kept AS (SELECT tid, sum(u) AS tu FROM rv GROUP BY tid),
+eu AS (SELECT a.r AS a, b.r AS b FROM rv a JOIN rv b ON a.tid = b.tid AND a.r < b.r JOIN kept ON kept.tid = a.tid GROUP BY a.r, b.r HAVING sum(tu) >= {min_util}),
+l1 AS (SELECT CAST([] AS INT[]) AS p, r AS x, tid, u AS iu, coalesce(sum(u) OVER (PARTITION BY tid ORDER BY r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS ru, 0 AS piu FROM rv),
+n1 AS (SELECT p, x, sum(iu) AS iu, sum(ru) AS ru FROM l1 GROUP BY p, x)"""
+    for d in range(1, depth):
+        out += f""",
+t{d} AS (SELECT a.p, a.x, b.x AS y FROM n{d} a JOIN n{d} b ON a.p = b.p AND a.x < b.x JOIN eu ON eu.a = a.x AND eu.b = b.x WHERE a.iu + a.ru >= {min_util}),
+j{d} AS (SELECT list_append(t.p, t.x) AS p, t.y AS x, i.tid, i.iu + j.iu - i.piu AS iu, j.ru, i.iu AS piu, i.iu + i.ru AS bound
+  FROM t{d} t JOIN l{d} i ON i.p = t.p AND i.x = t.x JOIN l{d} j ON j.p = t.p AND j.x = t.y AND j.tid = i.tid),
+n{d + 1} AS (SELECT p, x, sum(iu) AS iu, sum(ru) AS ru FROM j{d} GROUP BY p, x HAVING sum(bound) >= {min_util}),
+l{d + 1} AS (SELECT j.p, j.x, tid, j.iu, j.ru, piu FROM j{d} j JOIN n{d + 1} n ON n.p = j.p AND n.x = j.x)"""
+    total = " + ".join([f"(SELECT count(*) FROM n{d})" for d in range(1, depth + 1)] + [f"(SELECT count(*) FROM t{d})" for d in range(1, depth)])
+    return f"SELECT * FROM ({out} SELECT 'fhm' AS algorithm, CASE WHEN (SELECT count(*) FROM n{depth}) = 0 THEN CAST({total} AS BIGINT) END AS candidates)"
+
+
 def oracle_sql() -> dict[str, str]:
     brand = _itemsets("brand", BRAND)
     return {
@@ -199,5 +252,7 @@ def oracle_sql() -> dict[str, str]:
         "hui_brand_levelwise": brand, "hui_brand_merged": brand, "hui_brand_low": _itemsets("brand", LOW), "hui_fhm_brand": brand,
         "hui_text": f"SELECT itemset || ' #UTIL: ' || util AS value FROM ({_itemsets('supp', SUPP)})",
         "run_report": f"SELECT CAST({BRAND} AS BIGINT) AS min_util, count(*) AS n_itemsets, CAST(sum(util) AS BIGINT) AS total_util, CAST(max(len(string_split(itemset, ' '))) AS INT) AS longest FROM ({brand})",
-        "spmf_parse": f"WITH tx AS ({_TX['part']}), t AS (SELECT tid, sum(u) AS tu FROM tx GROUP BY tid) SELECT item, CAST(sum(u) AS BIGINT) AS u, CAST(sum(tu) AS BIGINT) AS twu, count(*) AS n FROM tx JOIN t USING (tid) GROUP BY item",
+        "candidate_count": _efim_candidates(BRAND) + " UNION ALL " + _fhm_candidates(BRAND),
+        "spmf_file": _PARSED,
+        "spmf_parse": _PARSED,
     }

@@ -9,10 +9,44 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 Found = tuple[tuple[int, ...], int]
 
 
+def by_prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, ...], pa.Table]]:
+    """The rows of each prefix (the first column), of batches that are sorted by it."""
+    held, name = [], None
+    for b in batches:
+        prefixes, at = b.column(0).to_pylist(), 0
+        for i in range(1, b.num_rows + 1):
+            if i == b.num_rows or prefixes[i] != prefixes[at]:
+                if name is not None and tuple(prefixes[at]) != name:
+                    yield name, pa.Table.from_batches(held).combine_chunks()
+                    held = []
+                name = tuple(prefixes[at])
+                held.append(b.slice(at, i - at))
+                at = i
+    if name is not None:
+        yield name, pa.Table.from_batches(held).combine_chunks()
+
+
+class Output:
+    """Rows (items, util), and (null, candidates) for each search, in batches."""
+
+    def __init__(self) -> None:
+        self.items, self.utils = [], []
+
+    def add(self, items: tuple[int, ...] | None, util: int) -> None:
+        self.items.append(None if items is None else list(items))
+        self.utils.append(util)
+
+    def batch(self) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(self.items, pa.list_(pa.int64())), pa.array(self.utils, pa.int64())], ["items", "util"])
+        self.items, self.utils = [], []
+        return out
+
+
 def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of all runs in turn, and the run of each."""
     size = end - start
@@ -26,11 +60,12 @@ class DepthFirst:
 
     With ``tighten`` elements that can't matter any more are dropped, and local utility
     counts what is left; without it local utility counts the declared transaction utility
-    that remains, as the published bound does. Itemsets found are the same.
+    that remains, as the published bound does. Without ``subtree`` local utility alone says
+    what is explored. Itemsets found are the same.
     """
 
-    def __init__(self, min_util: int, tighten: bool = True):
-        self.min_util, self.tighten, self.candidates = min_util, tighten, 0
+    def __init__(self, min_util: int, tighten: bool = True, subtree: bool = True):
+        self.min_util, self.tighten, self.subtree, self.candidates = min_util, tighten, subtree, 0
 
     def extend(self, prefix: tuple[int, ...], item: np.ndarray, util: np.ndarray, start: np.ndarray, end: np.ndarray, pu: np.ndarray, extra: np.ndarray, keep: np.ndarray | None) -> Iterator[Found]:
         """Extensions of a prefix whose rows are the runs item[start:end], with the prefix's utility in each."""
@@ -49,7 +84,7 @@ class DepthFirst:
         su = np.add.reduceat((pu[owner] + sums[last[owner]] - sums[np.arange(len(at))])[order], first)
         lu = np.add.reduceat((pu + extra + whole[last] - whole[begin])[owner][order], first)
         may = np.ones(len(names), bool) if keep is None else np.isin(names, keep)
-        explore = may & (su >= self.min_util)
+        explore = may & ((su >= self.min_util) if self.subtree else (su >= self.min_util) | (lu >= self.min_util))
         if not explore.any():
             return
         kept = names[may & ((su >= self.min_util) | (lu >= self.min_util))]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -66,7 +67,7 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` computed once, as a Parquet table in the shared folder (smaller than a checkpoint)."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -75,3 +76,50 @@ def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, di
     watch = Observation()
     table = stored(df.observe(watch, *[m.alias(k) for k, m in metrics.items()]), name)
     return table, {k: v or 0 for k, v in watch.get.items()}
+
+
+#: What is summed over the finished tasks, and the status store's name for it.
+TASK_SUMS = {
+    "run_ms": "executorRunTime", "cpu_ns": "executorCpuTime", "gc_ms": "jvmGcTime", "input_bytes": "inputBytes", "shuffle_read_bytes": "shuffleReadBytes",
+    "shuffle_write_bytes": "shuffleWriteBytes", "spilled_bytes": "diskBytesSpilled", "tasks": "numCompleteTasks",
+}
+
+
+def task_sums(spark: SparkSession, after: int = -1, only_last: bool = False) -> tuple[int, dict[str, int]]:
+    """The number of the last stage, and sums over the stages after ``after`` (without ``only_last``); no sums where the session has no status store."""
+    try:
+        core = spark.sparkContext._jsc.sc()
+        core.listenerBus().waitUntilEmpty()
+        gateway = spark.sparkContext._gateway
+        stages = core.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        n, last, sums = stages.size(), after, dict.fromkeys(TASK_SUMS, 0)
+        newest_first = n > 1 and stages.apply(0).stageId() > stages.apply(n - 1).stageId()
+        for i in range(n) if newest_first else range(n - 1, -1, -1):
+            stage = stages.apply(i)
+            if stage.stageId() <= after:
+                break
+            last = max(last, stage.stageId())
+            if only_last:
+                break
+            for name, field in TASK_SUMS.items():
+                sums[name] += int(getattr(stage, field)())
+        return last, sums
+    except Exception:  # noqa: BLE001  a report without these figures is still one
+        return after, {}
+
+
+class Phases:
+    """Wall clock and task sums between marks."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.seconds, self.tasks = spark, {}, {}
+        self.at, self.stage = time.perf_counter(), task_sums(spark, only_last=True)[0]
+
+    def mark(self, name: str) -> None:
+        """Ends the phase ``name``; a phase marked again goes on."""
+        now = time.perf_counter()
+        self.stage, sums = task_sums(self.spark, self.stage)
+        self.seconds[name] = self.seconds.get(name, 0.0) + now - self.at
+        before = self.tasks.get(name, {})
+        self.tasks[name] = {k: before.get(k, 0) + v for k, v in sums.items()}
+        self.at = now

@@ -1,6 +1,7 @@
 """The plain-text utility format: ``items:transaction utility:utilities``, one basket a line.
 
-Numbers stand between single separators, normally blanks. What follows ``%``, ``#`` or
+Numbers stand between single separators: blanks or any other character that is neither a
+digit nor the colon, blanks around it allowed. What follows ``%``, ``#`` or
 ``@`` is a comment; lines that are then empty are skipped. A line that can't be read goes
 to the bad rows with a reason (or fails the job in FAILFAST mode). The declared transaction
 utility is trusted unless ``validate_tu`` asks for the sum. The last line needs no newline.
@@ -12,16 +13,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+NUMBER = r"([+-]?\d+)"
+#: Blanks before a number, or one other character that may stand between blanks.
+SEPARATOR = r"(?:\s+(?=[+-]?\d)|\s*[^\d\s:]\s*)"
+
+
 def parse_lines(lines: DataFrame, value: str = "value", tid: Column | None = None) -> DataFrame:
     """tid, value, items, tu, utils, reason (null: good) of every line that isn't empty or a comment.
 
     ``tid`` names the baskets (default: ids by place in the input, which streams don't have).
     """
-    numbers = lambda part: F.expr(f"transform(split(trim({part}), ' +'), x -> try_cast(x as bigint))")
+
+
+    def numbers(part: Column) -> Column:
+        """The numbers of a list; where it isn't one, a null among them."""
+        found = F.regexp_extract_all(part, F.lit(f"(?:^|{SEPARATOR}){NUMBER}"), F.lit(1))
+        return F.when(part.rlike(rf"^{NUMBER}(?:{SEPARATOR}{NUMBER})*$"), F.transform(found, lambda x: x.try_cast("bigint"))).otherwise(F.array(F.lit(None).cast("bigint")))
+
+    blank = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
     rows = (
-        lines.select((F.monotonically_increasing_id() if tid is None else tid).alias("tid"), F.trim(F.regexp_replace(F.col(value), r"[%#@].*$", "")).alias("value"))
+        lines.select((F.monotonically_increasing_id() if tid is None else tid).alias("tid"), blank(F.regexp_replace(F.col(value), r"[%#@].*$", "")).alias("value"))
         .where("value <> ''").withColumn("part", F.split("value", ":"))
-        .withColumn("items", numbers("part[0]")).withColumn("tu", F.expr("try_cast(trim(get(part, 1)) as bigint)")).withColumn("utils", numbers("get(part, 2)"))
+        .withColumn("items", numbers(blank(F.get("part", F.lit(0))))).withColumn("tu", blank(F.get("part", F.lit(1))).try_cast("bigint")).withColumn("utils", numbers(blank(F.get("part", F.lit(2)))))
     )
     reason = (
         F.when(F.size("part") != 3, "three parts are needed")

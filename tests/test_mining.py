@@ -68,21 +68,41 @@ def test_candidate_counts(min_util, efim, fhm):
     assert by_lists(BASKETS, min_util) == (want, fhm)
 
 
-@pytest.mark.parametrize("options", [{}, {"local_elements": 0}, {"local_elements": 3}, {"local_elements": 0, "merging": True}, {"tighten": False}])
+@pytest.mark.parametrize("options", [{}, {"local_elements": 0}, {"local_elements": 3}, {"local_elements": 0, "merging": True}, {"tighten": False}, {"tighten": False, "local_elements": 0}, {"subtree": False}, {"subtree": False, "local_elements": 3}])
 @pytest.mark.parametrize("min_util", [15, 33, 34])
 def test_plans_agree(spark, options, min_util):
     mined = mine(table(spark, ROWS), min_util, **options)
     assert as_sets(mined.found) == brute(BASKETS, min_util)
 
 
-def test_published_candidates(spark):
-    assert mine(table(spark, ROWS), 30, tighten=False).candidates == 8
-    assert mine(table(spark, ROWS), 15, tighten=False).candidates == 31
+@pytest.mark.parametrize("local", [10**6, 3, 0])
+def test_published_candidates(spark, local):
+    """Level by level, in tasks and both: the same counts."""
+    tx = table(spark, ROWS)
+    assert [mine(tx, m, tighten=False, local_elements=local).candidates for m in (30, 15)] == [8, 31]
+    assert [mine_lists(tx, m, local_elements=local).candidates for m in (30, 15)] == [27, 78]
 
 
+@pytest.mark.parametrize("local", [10**6, 3, 0])
 @pytest.mark.parametrize("min_util", [15, 30, 34])
-def test_lists_agree(spark, min_util):
-    assert as_sets(mine_lists(table(spark, ROWS), min_util).found) == brute(BASKETS, min_util)
+def test_lists_agree(spark, min_util, local):
+    mined = mine_lists(table(spark, ROWS), min_util, local_elements=local)
+    assert as_sets(mined.found) == brute(BASKETS, min_util)
+    assert set(mined.phases) == set(mined.tasks) == {"twu", "build", "search"} and mined.tasks["build"]["tasks"] > 0
+
+
+def test_lists_of_transactions_with_other_keys(spark):
+    named = spark.createDataFrame([(f"t{t}", i, u) for t, i, u in ROWS], "tid string, item long, u long")
+    assert as_sets(mine_lists(named, 15).found) == HUI_15
+    assert as_sets(mine_lists(table(spark, []), 5).found) == {}
+
+
+def test_ranks_are_dense_over_partitions(spark):
+    from lodestone.functions import bounds
+
+    rows = spark.createDataFrame([(i, (i * 7) % 13) for i in range(1, 200)], "item long, twu long").repartition(5)
+    got = {r["item"]: r["r"] for r in bounds.ranks(rows).collect()}
+    assert got == {i: k for k, i in enumerate(sorted(range(1, 200), key=lambda i: ((i * 7) % 13, i)), 1)}
 
 
 def test_declared_totals_are_trusted(spark):
@@ -97,6 +117,8 @@ def test_edges(spark):
     assert as_sets(mine(table(spark, [(1, 0, 9), (1, 3, 2)]), 2).found) == {(3,): 2}
     with pytest.raises(ValueError, match="min_util"):
         mine(table(spark, ROWS), 0)
+    with pytest.raises(ValueError, match="merged"):
+        mine(table(spark, ROWS), 1, merging=True, tighten=False)
 
 
 databases = st.lists(st.dictionaries(st.integers(1, 8), st.integers(0, 9), min_size=1, max_size=6), min_size=1, max_size=8)
@@ -118,6 +140,7 @@ def test_plans_are_brute_force(spark, baskets, min_util):
     want = brute(baskets, min_util)
     assert as_sets(mine(tx, min_util, local_elements=2).found) == want
     assert as_sets(mine_lists(tx, min_util).found) == want
+    assert as_sets(mine_lists(tx, min_util, local_elements=2).found) == want
 
 
 def test_a_higher_minimum_finds_a_subset(spark):

@@ -24,6 +24,7 @@ def test_golden_text(spark, tmp_path):
 LINES = [
     ("% header", None), ("@x", None), ("# c", None), ("", None), ("3 5:10:4 6 # note", "good"), ("a b:1:1 1", "not a number"),
     ("3 5:10:4", "items and utilities differ in number"), ("3 5:10:4 -6", "negative number"), ("3 5:99:4 6", "good"), ("3 5", "three parts are needed"),
+    ("3\t5:10:4\t6", "good"), ("3,5:10:4,6", "good"), ("3 , 5 : 10 : 4;6", "good"), ("3  5:10:4  6", "good"), ("3,,5:10:4,6", "not a number"), (":1:", "not a number"), ("3 5:x:4 6", "not a number"),
 ]
 
 
@@ -32,6 +33,7 @@ def test_lines(spark):
     got = {r["value"]: r["reason"] or "good" for r in rows}
     assert got == {x.split("#")[0].strip(): why for x, why in LINES if why}
     assert next(r for r in rows if r["tu"] == 99)["items"] == [3, 5]
+    assert all((r["items"], r["utils"]) == ([3, 5], [4, 6]) for r in rows if r["reason"] is None)
 
 
 def test_modes_and_item_zero(spark, tmp_path):
