@@ -144,7 +144,7 @@ def mixed_documents(
                 rows = whole.take(pa.array(part))
                 ends = [next(itertools.islice(word.finditer(t), int(k) - 1, None)).end() for t, k in zip(rows.column(at).to_pylist(), (take % size)[part], strict=True)]
                 texts = pa.array([t[:e] for t, e in zip(rows.column(at).to_pylist(), ends, strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(rows.columns)], rows.schema.names)
+                yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(rows.columns)], schema=whole.schema)
 
     return picked.mapInArrow(run, docs.schema)
 
