@@ -12,12 +12,14 @@ import sys
 import time
 from pathlib import Path
 
-sys.path.insert(0, str(Path(__file__).resolve().parent))
+HERE = str(Path(__file__).resolve().parent)
+sys.path.insert(0, HERE)
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [HERE, os.environ.get("PYTHONPATH")]))  # for the workers
 
 from lodestone.functions import bounds  # noqa: E402
 from lodestone.plans.levelwise import mine  # noqa: E402
 from lodestone.plans.utility_list import mine_lists  # noqa: E402
-from lodestone.session import local_session  # noqa: E402
+from lodestone.session import local_session, stored  # noqa: E402
 from lodestone.sources import relational  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -29,9 +31,13 @@ def main() -> None:
     scale = float(Path(SF_DIR).name.removeprefix("sf")) if Path(SF_DIR).name.startswith("sf") else 0.1
     brand, part, supp = relational.brand_baskets, relational.part_baskets, relational.supplier_baskets
     high, supplier = max(1, int(200_000 * scale)), max(1600, int(16_000 * scale))
+
+    def eucs(tx):  # noqa: ANN001, ANN202
+        return bounds.pair_bounds(bounds.revised(tx, bounds.ranks(bounds.promising(bounds.twu(tx), high))))
+
     runs = {
         "twu_part": lambda: bounds.twu(part(spark, SF_DIR)).count(),
-        "eucs_brand": lambda: bounds.pair_bounds(bounds.revised(brand(spark, SF_DIR), bounds.ranks(bounds.promising(bounds.twu(brand(spark, SF_DIR)), high)))).count(),
+        "eucs_brand": lambda: eucs(stored(brand(spark, SF_DIR), "baskets")).count(),
         "hui_brand": lambda: mine(brand(spark, SF_DIR), high).found.count(),
         "hui_part": lambda: mine(part(spark, SF_DIR), 400).found.count(),
         "hui_supp": lambda: mine(supp(spark, SF_DIR), supplier).found.count(),

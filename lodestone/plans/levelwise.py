@@ -45,12 +45,12 @@ def _depth_first(state: DataFrame, min_util: int, tighten: bool, subtree: bool)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Output()
         for prefix, t in by_prefix(batches):
-            rem = t.column("rem").chunk(0)
+            rem = t.column("rem")
             offsets = rem.offsets.to_numpy() - rem.offsets[0].as_py()
             flat = rem.flatten()
-            item, kept = np.asarray(flat.field("item")), np.asarray(flat.field("kept"))
+            item = np.asarray(flat.field("item"))
             search = DepthFirst(min_util, tighten, subtree)
-            keep = None if kept.all() else np.unique(item[kept])
+            keep = None if tighten else np.unique(item[np.asarray(flat.field("kept"))])
             for found in search.extend(prefix, item, np.asarray(flat.field("u")), offsets[:-1].astype(np.int64), offsets[1:].astype(np.int64), t.column("pu").to_numpy(), t.column("extra").to_numpy(), keep):
                 out.add(*found)
             out.add(None, search.candidates)

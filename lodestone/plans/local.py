@@ -14,21 +14,27 @@ import pyarrow as pa
 Found = tuple[tuple[int, ...], int]
 
 
-def by_prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, ...], pa.Table]]:
-    """The rows of each prefix (the first column), of batches that are sorted by it."""
+def by_prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, ...], pa.RecordBatch]]:
+    """The rows of each prefix (the first column, all of one length), of batches that are sorted by it."""
+
+    def whole(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
     held, name = [], None
     for b in batches:
-        prefixes, at = b.column(0).to_pylist(), 0
-        for i in range(1, b.num_rows + 1):
-            if i == b.num_rows or prefixes[i] != prefixes[at]:
-                if name is not None and tuple(prefixes[at]) != name:
-                    yield name, pa.Table.from_batches(held).combine_chunks()
-                    held = []
-                name = tuple(prefixes[at])
-                held.append(b.slice(at, i - at))
-                at = i
-    if name is not None:
-        yield name, pa.Table.from_batches(held).combine_chunks()
+        if not b.num_rows:
+            continue
+        names = b.column(0).flatten().to_numpy().reshape(b.num_rows, -1)
+        begin = np.flatnonzero(np.concatenate([[True], (names[1:] != names[:-1]).any(axis=1)]))
+        for s, e in zip(begin, np.append(begin[1:], b.num_rows), strict=True):
+            now = tuple(names[s].tolist())
+            if held and now != name:
+                yield name, whole(held)
+                held = []
+            name = now
+            held.append(b.slice(s, e - s))
+    if held:
+        yield name, whole(held)
 
 
 class Output:
