@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.batches import slices
+from lodestone.llm.batches import slices, small
 from lodestone.llm.components import connected_components
 from lodestone.session import stored, unused
 
@@ -70,7 +70,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 _CODES = mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up = np.cumprod(np.full(n, _BASE, np.uint64))
     return up, np.cumprod(np.full(n, pow(_BASE, -1, 1 << 64), np.uint64))
@@ -303,7 +303,8 @@ def jaccard_components(
     if 2 * num <= den:
         raise ValueError("a similarity over 1/2 is needed: the index takes two common tokens for granted")
     src = _source(docs, id_col, text_col)
-    base = stored(_prefixes(src, *frequency_classes(src, width), width, num, den), "prefixes")
+    with small(docs.sparkSession):
+        base = stored(_prefixes(src, *frequency_classes(src, width), width, num, den), "prefixes")
     able = base.where(F.col("id").isNotNull() & (F.col("n") > 0))
     # a node is a class, not an id: rows of one id can have different texts. Numbers last, as the table is read from its files
     equal = able.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("rare").alias("rare"))
@@ -314,7 +315,9 @@ def jaccard_components(
         likely = stored(_likely(pairs, reps, num, den), "pairs")
         nodes = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         members = stored(nodes.join(reps.select("node", "id", "digest"), "node"), "members")
-        return stored(_verified(likely, _sets_of(src, members, width), num, den), "links")
+        with small(docs.sparkSession):
+            sets = _sets_of(src, members, width)
+        return stored(_verified(likely, sets, num, den), "links")
 
     # leaders: of each entry the set with the fewest tokens before the shared one (what edits made of
     # it comes first in the order, so the others are likely its edits), and the one with the smallest number

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.batches import slices
+from lodestone.llm.batches import slices, small
 from lodestone.llm.ngram_join import _CODES, CHUNK, _powers, mix, word_hashes
 from lodestone.session import stored
 
@@ -407,7 +407,8 @@ def _placed(classes: DataFrame) -> DataFrame:
 
 def repeated_windows(src: DataFrame, length: int, keep: str, group: int = GROUP) -> DataFrame:
     """(id, key, lo, n, times, mask, extra, whole): for runs of n windows from lo, ``times`` of them, which have copies. src: id, key, text."""
-    runs = stored(_runs(src, _bitmap(stored(_counts(src, length), "anchors")), length), "runs")
+    with small(src.sparkSession):
+        runs = stored(_runs(src, _bitmap(stored(_counts(src, length), "anchors")), length), "runs")
     aggregates = [F.sum("times").alias("c"), F.count(F.lit(1)).alias("rows"), F.min("anchor").alias("anchor")]
     if keep == "first":
         classes = _placed(runs.groupBy("k1", "k2").agg(*aggregates, F.min(F.struct("id", "key", "lo")).alias("first")))
@@ -460,7 +461,8 @@ def shared_passages(src: DataFrame, passage: int) -> DataFrame:
                 rows = pa.array(np.concatenate(row))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(np.concatenate(at)), pa.array(np.concatenate(shingle))], ["id", "key", "start", "shingle"])
 
-    rows = stored(src.mapInArrow(run, f"id {kind}, key long, start long, shingle long"), "shingles")
+    with small(src.sparkSession):
+        rows = stored(src.mapInArrow(run, f"id {kind}, key long, start long, shingle long"), "shingles")
     doc = F.xxhash64("id", "key")
     shared = rows.groupBy(F.col("shingle").alias("s")).agg(F.min(doc).alias("a"), F.max(doc).alias("b"), F.count(F.lit(1)).alias("many")).where("a <> b").select("s", "many")
     return _met(rows, stored(shared, "shared-shingles"), {"shingle": "s"}, "many").groupBy("id", "key").agg(F.collect_list("start").alias("starts"))
