@@ -29,6 +29,8 @@ from lodestone.llm.batches import slices
 BUCKETS = 1 << 14
 #: One sample row in so many is left out of the fit, to weigh the bits.
 APART = 5
+#: Rows of the sample that the fit unpacks at once.
+BLOCK = 64
 CHUNK = 1 << 20
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -82,16 +84,49 @@ def _chunks(text: str) -> Iterator[np.ndarray]:
         yield np.frombuffer(raw, np.uint8, min(CHUNK, len(raw) - at), at)
 
 
-def frequencies(text: str) -> np.ndarray:
-    """Shares of the n-gram buckets in a whole text."""
-    total, n = np.zeros(BUCKETS), 0
+def _counts(text: str) -> tuple[np.ndarray, int]:
+    """How often each n-gram bucket is in a whole text, and their sum."""
+    total, n = np.zeros(BUCKETS, np.int64), 0
     for c in _chunks(text):
         f = _features(c)
         total += np.bincount(f.ravel(), minlength=BUCKETS)
         n += f.size
+    return total, n
+
+
+def frequencies(text: str) -> np.ndarray:
+    """Shares of the n-gram buckets in a whole text."""
+    total, n = _counts(text)
     return total / max(n, 1)
 
 
+class _Roots:
+    """Square roots of the bucket shares of many texts, a block of rows at once.
+
+    Counts are held, in the narrowest type that has room for a block's largest: half of what
+    the roots take or less. The roots are taken anew whenever they are needed.
+    """
+
+    def __init__(self, texts: list[str]):
+        self.blocks, self.scale = [], np.empty(len(texts), np.float32)
+        for at in range(0, len(texts), BLOCK):
+            block = np.empty((min(BLOCK, len(texts) - at), BUCKETS), np.int64)
+            for i in range(len(block)):
+                block[i], n = _counts(texts[at + i])
+                self.scale[at + i] = 1 / np.sqrt(max(n, 1))
+            self.blocks.append(block.astype(np.min_scalar_type(int(block.max()))))
+        self._room = np.empty((BLOCK, BUCKETS), np.float32)
+
+    def __iter__(self) -> Iterator[tuple[slice, np.ndarray]]:
+        """(rows, their roots); the array is used again for the next block."""
+        for k, block in enumerate(self.blocks):
+            rows = slice(k * BLOCK, k * BLOCK + len(block))
+            x = self._room[: len(block)]
+            np.sqrt(block, out=x, dtype=np.float32, casting="unsafe")
+            x *= self.scale[rows, None]
+            yield rows, x
+
+
 def fit(texts: list[str], langs: list[str], *, rounds: int = 250, rate: float = 1.0, penalty: float = 1e-5) -> Model | None:
     """Logistic classifiers, one for each bit, by full-batch gradient steps over the sample.
 
@@ -103,9 +138,6 @@ def fit(texts: list[str], langs: list[str], *, rounds: int = 250, rate: float =
     code = codewords(len(languages))
     if not code.shape[1]:
         return Model(languages, code, np.zeros((BUCKETS, 0)), np.zeros(0), np.zeros(0))
-    x = np.empty((len(texts), BUCKETS), np.float32)
-    for i, t in enumerate(texts):
-        x[i] = np.sqrt(frequencies(t))
     of = np.array([languages.index(v) for v in langs])
     y = code[of].astype(np.float32)
     nth = np.empty(len(of), np.int64)  # of its language
@@ -114,16 +146,23 @@ def fit(texts: list[str], langs: list[str], *, rounds: int = 250, rate: float =
     apart = nth % APART == APART - 1
     use = np.flatnonzero(~apart)
     each = (1 / np.bincount(of[use], minlength=len(languages)))[of[use]].astype(np.float32)[:, None] / len(languages)
-    seen, want = x[use], y[use]
+    seen, want = _Roots([texts[i] for i in use]), y[use]
     w, b = np.zeros((BUCKETS, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     m, v = [np.zeros_like(w), np.zeros_like(b)], [np.zeros_like(w), np.zeros_like(b)]
     for t in range(1, rounds + 1):
-        g = -want / (1 + np.exp(np.clip(want * (seen @ w + b), -30, 30))) * each
-        for p, grad, i in ((w, seen.T @ g + penalty * w, 0), (b, g.sum(axis=0), 1)):
+        slope, lean = penalty * w, np.zeros_like(b)
+        for rows, x in seen:
+            g = -want[rows] / (1 + np.exp(np.clip(want[rows] * (x @ w + b), -30, 30))) * each[rows]
+            slope += x.T @ g
+            lean += g.sum(axis=0)
+        for p, grad, i in ((w, slope, 0), (b, lean, 1)):
             m[i] = 0.9 * m[i] + 0.1 * grad
             v[i] = 0.99 * v[i] + 0.01 * grad**2
             p -= rate * 0.1 * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.99**t)) + 1e-9)
-    right = ((x[apart] @ w + b) * y[apart] > 0).mean(axis=0) if apart.any() else np.ones(len(b))
+    tried, hits = np.flatnonzero(apart), np.zeros(len(b))
+    for rows, x in _Roots([texts[i] for i in tried]):
+        hits += ((x @ w + b) * y[tried[rows]] > 0).sum(axis=0)
+    right = hits / len(tried) if len(tried) else np.ones(len(b))
     return Model(languages, code, w.astype(float), b.astype(float), np.maximum(right - 0.5, 0.01))
 
 

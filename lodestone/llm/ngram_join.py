@@ -40,13 +40,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.batches import slices, small
 from lodestone.llm.components import connected_components
-from lodestone.session import stored, unused
+from lodestone.session import lent, stored, unused
 
 SKETCH_BITS, BITMAP_BITS, PAGE = 24, 26, 1 << 18
 #: Tokens kept beyond the first d of the common order; two similar sets share so many of them.
@@ -173,14 +173,22 @@ def frequency_classes(docs: DataFrame, width: int) -> tuple[np.ndarray, int]:
     while n > 1:  # at most FAN sums of a page at once, whatever the number of partitions
         n = -(-n // FAN)
         parts = parts.withColumn("part", F.pmod("part", F.lit(n))).groupBy("page", "part").applyInPandas(add, schema)
-    counts = np.zeros(cells, np.uint32)
-    for r in parts.collect():
-        counts[r["page"] * PAGE : (r["page"] + 1) * PAGE] = np.frombuffer(zstandard.decompress(bytes(r["sums"])), np.uint32)
-    usual = max(16.0, 3.0 * counts.mean())
-    some = counts[:: max(1, cells >> 18)]
+    sums = {r["page"]: bytes(r["sums"]) for r in parts.collect()}  # they stay compressed: the driver unpacks one at a time
+
+    def unpacked() -> Iterator[np.ndarray]:
+        for page in range(cells // PAGE):
+            yield np.frombuffer(zstandard.decompress(sums[page]), np.uint32) if page in sums else np.zeros(PAGE, np.uint32)
+
+    total, some = 0, []
+    for page in unpacked():
+        total += int(page.sum(dtype=np.uint64))
+        some.append(page[:: max(1, cells >> 18)].copy())
+    usual, some = max(16.0, 3.0 * total / cells), np.concatenate(some)
     low = np.unique(np.quantile(some[some <= usual], np.linspace(0, 1, 150)).astype(np.uint32)) if (some <= usual).any() else np.zeros(1, np.uint32)
     levels = np.concatenate([low[low < usual], np.unique((usual * 2 ** (np.arange(90) / 4)).clip(0, 2**32 - 1).astype(np.uint32))])
-    classes = np.concatenate([np.searchsorted(levels, counts[i : i + PAGE]).astype(np.uint8) for i in range(0, cells, PAGE)])
+    classes = np.empty(cells, np.uint8)
+    for i, page in enumerate(unpacked()):
+        classes[i * PAGE : (i + 1) * PAGE] = np.searchsorted(levels, page)
     return classes, int(np.searchsorted(levels, int(usual))) + 1
 
 
@@ -190,9 +198,8 @@ def _slack(n: Column | int, num: int, den: int) -> Column | int:
     return n - need
 
 
-def _prefixes(docs: DataFrame, classes: np.ndarray, frequent: int, width: int, num: int, den: int) -> DataFrame:
-    """id, n, digest, prefix (the first d + EXTRA tokens in the common order), rare (how many of them are rare)."""
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
+def _prefixes(docs: DataFrame, shared: Broadcast, frequent: int, width: int, num: int, den: int) -> DataFrame:
+    """id, n, digest, prefix (the first d + EXTRA tokens in the common order), rare (how many of them are rare). shared: the classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -244,7 +251,6 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     bitmap = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
     for r in pages:  # of 32768 bits; the first is page 1
         bitmap[(r["page"] - 1) * 4096 : r["page"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # 8 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -259,9 +265,10 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))], ["id", "digest", "tokens"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    flagged = docs.where(F.col("id").isNotNull()).select("id", "text", bit.alias("bit")).mapInArrow(run, f"id {kind}, digest binary, tokens array<long>")
-    found = flagged.join(nodes, ["id", "digest"])
-    return stored(found.groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
+    with lent(docs.sparkSession, bitmap) as shared:  # 8 MB
+        flagged = docs.where(F.col("id").isNotNull()).select("id", "text", bit.alias("bit")).mapInArrow(run, f"id {kind}, digest binary, tokens array<long>")
+        found = flagged.join(nodes, ["id", "digest"])
+        return stored(found.groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -304,7 +311,10 @@ def jaccard_components(
         raise ValueError("a similarity over 1/2 is needed: the index takes two common tokens for granted")
     src = _source(docs, id_col, text_col)
     with small(docs.sparkSession):
-        base = stored(_prefixes(src, *frequency_classes(src, width), width, num, den), "prefixes")
+        classes, frequent = frequency_classes(src, width)
+        with lent(docs.sparkSession, classes) as shared:
+            base = stored(_prefixes(src, shared, frequent, width, num, den), "prefixes")
+        del classes, shared  # 16 MB that the driver needs no more
     able = base.where(F.col("id").isNotNull() & (F.col("n") > 0))
     # a node is a class, not an id: rows of one id can have different texts. Numbers last, as the table is read from its files
     equal = able.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("rare").alias("rare"))

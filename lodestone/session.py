@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from typing import Any
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
@@ -71,6 +75,16 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def lent(spark: SparkSession, value: Any) -> Iterator[Broadcast]:
+    """A broadcast for the jobs that run meanwhile; then driver and executors drop it at once, not when garbage is collected."""
+    shared = spark.sparkContext.broadcast(value)
+    try:
+        yield shared
+    finally:
+        shared.destroy()
+
+
 def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict[str, int]]:
     """``stored``, with aggregates of the rows taken while they are written; 0 where there are none."""
     watch = Observation()

@@ -6,9 +6,11 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -396,3 +398,36 @@ def test_query_names():
     names = catalog.queries()
     assert [k.split("_")[0] for k in names] == [f"op{n}" for n in range(1, 11)]
     assert set(catalog.oracle_sql()) <= set(names)
+
+
+def test_frequency_classes_take_little_of_the_driver(spark):
+    """One page of counts is unpacked at a time; the classes are those of all counts at once."""
+    rng = random.Random(9)
+    rows = [(i, "many words that all have " + sentence(rng, 400), None, None) for i in range(300)]
+    docs = documents(spark, rows)
+    src = ngram_join._source(docs, "doc_id", "text")
+    tracemalloc.start()
+    try:
+        classes, frequent = ngram_join.frequency_classes(src, 2)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    cells = 1 << ngram_join.SKETCH_BITS
+    assert peak < 3 * cells  # the counts alone took 4 bytes a cell before
+
+    counts = np.zeros(cells, np.uint32)
+    for _, s in ngram_join.shingle_sets(pa.array([t for _, t, _, _ in rows]), 2):
+        counts[(s >> np.uint64(64 - ngram_join.SKETCH_BITS)).astype(np.int64)] += 1
+    assert (counts > 16).any() and ((classes >= frequent) == (counts > 16)).all()
+    seen = [(int(classes[counts == n].min()), int(classes[counts == n].max())) for n in np.unique(counts)]
+    assert all(a == b for a, b in seen) and seen == sorted(seen)
+
+
+def test_join_drops_its_broadcasts(spark, monkeypatch):
+    made, gone = [], []
+    kind = type(spark.sparkContext.broadcast(None))
+    begin, end = kind.__init__, kind.destroy
+    monkeypatch.setattr(kind, "__init__", lambda self, *a, **b: (begin(self, *a, **b), made.append(self._jbroadcast.id()))[0])
+    monkeypatch.setattr(kind, "destroy", lambda self, *a, **b: (gone.append(self._jbroadcast.id()), end(self, *a, **b))[1])
+    assert ngram_join.jaccard_components(documents(spark)).count() == documents(spark).count()
+    assert made and sorted(made) == sorted(gone)

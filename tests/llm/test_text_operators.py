@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -309,3 +310,29 @@ def test_codewords_differ():
     model = langid.Model(["a", "b", "c"], langid.codewords(3), None, None, np.ones(3))
     best, score, gap = langid.decode(langid.codewords(3) * 4.0, model)
     assert best.tolist() == [0, 1, 2] and (score > 0.5).all() and (gap > 0).all()
+
+
+def test_fit_holds_counts_not_roots():
+    """The driver holds a sample's counts in few bytes; the model is that of all roots at once."""
+    rng = random.Random(5)
+    letters = {"a": "abcdefgh", "b": "efghijkl", "c": "ijklmnop"}
+    langs = [k for k in letters for _ in range(200)]
+    texts = ["".join(rng.choice(letters[v] + " ") for _ in range(120)) for v in langs]
+    texts[3], texts[250] = "ab " * 90_000, "x"  # a count that two bytes don't hold
+    tracemalloc.start()
+    try:
+        model = langid.fit(texts, langs, rounds=1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < len(texts) * langid.BUCKETS * 4  # of the roots alone; with a copy of those fitted before
+
+    of = np.array([sorted(letters).index(v) for v in langs])
+    y = langid.codewords(3)[of]
+    fitted = np.arange(len(texts)) % 200 % langid.APART != langid.APART - 1
+    x = np.sqrt([langid.frequencies(t) for t in texts])
+    slope = x[fitted].T @ (-y[fitted] / 2 / 160 / 3)
+    clear = np.abs(slope) > 1e-7
+    assert clear.any() and (np.sign(model.weights[clear]) == -np.sign(slope[clear])).all()
+    right = ((x[~fitted] @ model.weights + model.bias) * y[~fitted] > 0).mean(axis=0)
+    assert model.trust == pytest.approx(np.maximum(right - 0.5, 0.01))
